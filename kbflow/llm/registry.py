@@ -9,10 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 from kbflow.llm.byte_bpe import op6_byte_bpe
 from kbflow.llm.simhash_dedup import op1_simhash_dedup
 from kbflow.llm.token_files import op5_token_files
+from kbflow.llm.toxicity import op9_toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash_dedup": op1_simhash_dedup,
     "op5_token_files": op5_token_files,
     "op6_byte_bpe": op6_byte_bpe,
+    "op9_toxicity": op9_toxicity,
 }
 SQL: dict[str, str] = {}
