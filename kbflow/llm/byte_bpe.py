@@ -120,6 +120,10 @@ def _clean(text: str | None) -> str:
     return (text or "").encode("utf-16", "surrogatepass").decode("utf-16", "replace") if text and not text.isascii() and any("\ud800" <= c <= "\udfff" for c in text) else text or ""
 
 
+def encode_texts(texts: Sequence[str | None], path: str) -> list[bytes]:
+    return once(BlankCut, path, _library).many([_clean(t) for t in texts])
+
+
 def decode_ids(ids: bytes, path: str) -> bytes:
     """The bytes of a text; an id without a token raises KeyError."""
     own = ranks_of(path).bytes_of
@@ -154,7 +158,7 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = [_clean(x.as_py()) for x in batch.column(1)]
-            ids = [encode_text(t, path) for t in texts]
+            ids = encode_texts(texts, path)
             columns = [batch.column(0), pa.array(ids, pa.binary()), pa.array([len(i) // 4 for i in ids], pa.int64())]
             if with_offsets:
                 spans = [[{"start": s, "end": e} for s, e in offsets(t, i, path)] for t, i in zip(texts, ids, strict=True)]
@@ -183,8 +187,7 @@ def round_trip(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n, a, b = [], [], []
-            for text in batch.column(1):
-                ids = encode_text(text.as_py(), path)
+            for ids in encode_texts(batch.column(1).to_pylist(), path):
                 n.append(len(ids) // 4)
                 a.append(hashlib.sha256(ids).hexdigest())
                 b.append(hashlib.sha256(decode_ids(ids, path)).hexdigest())

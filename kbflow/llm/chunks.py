@@ -14,7 +14,9 @@ _UNSAFE = re.compile(r"\s | \s|\A | \Z")
 #: str.split() cuts at these too, the tokenizers' own white space has them not.
 _SEPARATORS = re.compile("[\x1c-\x1f]")
 #: Cached pieces, and characters of the longest one: only bounds memory.
-CACHED, LONGEST = 400_000, 200
+CACHED, LONGEST = 1_000_000, 64
+#: Characters of the texts that look for new pieces together.
+TOGETHER = 4_000_000
 Encode = Callable[[Sequence[str]], list[bytes]]
 
 
@@ -22,51 +24,67 @@ def packed(ids: Sequence[int]) -> bytes:
     return np.asarray(ids, "<u4").tobytes()
 
 
-class _Cached:
+class Cached:
+    """encode() with a memory: the pieces of many texts that are new are encoded by one call of the library."""
+
     def __init__(self, encode: Encode) -> None:
         self.encode = encode
         self.known: dict[str, bytes] = {}
 
-    def joined(self, parts: list[str]) -> bytes:
-        try:
-            return b"".join(map(self.known.__getitem__, parts))
-        except KeyError:
-            pass
-        missing = list(set(parts) - self.known.keys())
-        if len(self.known) + len(missing) > CACHED:
-            self.known.clear()
-            missing = list(set(parts))
-        new = dict(zip(missing, self.encode(missing), strict=True))
-        self.known.update((k, v) for k, v in new.items() if len(k) <= LONGEST)
-        long = {k: v for k, v in new.items() if len(k) > LONGEST}
-        if not long:
-            return b"".join(map(self.known.__getitem__, parts))
-        return b"".join([self.known[p] if p in self.known else long[p] for p in parts])
-
-
-class BlankCut:
-    """For byte-level vocabularies without a normalizer: ids of a text as little-endian unsigned 32-bit integers."""
-
-    def __init__(self, encode: Encode) -> None:
-        self.cached = _Cached(encode)
+    def parts(self, text: str) -> list[str]:
+        raise NotImplementedError
 
     def __call__(self, text: str) -> bytes:
+        return self.many([text])[0]
+
+    def many(self, texts: Sequence[str]) -> list[bytes]:
+        """The ids of each text as little-endian unsigned 32-bit integers."""
+        out: list[bytes] = []
+        at = 0
+        while at < len(texts):
+            end, size = at, 0
+            while end < len(texts) and (end == at or size < TOGETHER):
+                size += len(texts[end])
+                end += 1
+            out += self._together([self.parts(t) for t in texts[at:end]])
+            at = end
+        return out
+
+    def _together(self, parts: list[list[str]]) -> list[bytes]:
+        get, known, out, later, new = self.known.__getitem__, self.known, [], [], set()
+        for own in parts:
+            try:
+                out.append(b"".join(map(get, own)))
+            except KeyError:
+                new.update([p for p in own if p not in known])
+                later.append(len(out))
+                out.append(b"")
+        if later:
+            wanted = list(new)
+            found = dict(zip(wanted, self.encode(wanted), strict=True))
+            for i in later:
+                out[i] = b"".join([known[p] if p in known else found[p] for p in parts[i]])
+            if len(known) + len(found) > CACHED:
+                known.clear()
+            known.update((k, v) for k, v in found.items() if len(k) <= LONGEST)
+        return out
+
+
+class BlankCut(Cached):
+    """For byte-level vocabularies without a normalizer."""
+
+    def parts(self, text: str) -> list[str]:
         if not text:
-            return b""
-        parts = text.split(" ") if not _UNSAFE.search(text) else _CUT.split(text)
-        return self.cached.joined([parts[0], *[" " + p for p in parts[1:]]])
+            return []
+        own = text.split(" ") if not _UNSAFE.search(text) else _CUT.split(text)
+        return [own[0], *[" " + p for p in own[1:]]]
 
 
-class WordCut:
+class WordCut(Cached):
     """For vocabularies whose pre-tokenizer drops white space."""
 
-    def __init__(self, encode: Encode) -> None:
-        self.cached = _Cached(encode)
-
-    def __call__(self, text: str) -> bytes:
-        if _SEPARATORS.search(text):
-            return self.cached.encode([text])[0]
-        return self.cached.joined(text.split())
+    def parts(self, text: str) -> list[str]:
+        return [text] if _SEPARATORS.search(text) else text.split()
 
 
 def library(path: str) -> Encode:

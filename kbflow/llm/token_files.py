@@ -143,12 +143,18 @@ def _encode_texts(path: str, end: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, last = once(WordCut, path), packed([end])
         for batch in batches:
-            ids = [own(t.as_py() or "") + last for t in batch.column(1)]
-            yield pa.record_batch([batch.column(0), pa.array([np.frombuffer(i, "<u4").astype("<u2").tobytes() if np.frombuffer(i, "<u4").max() < 65536 else b"+" + i for i in ids], pa.binary())], names=["doc_id", "ids"])
+            found = own.many([t.as_py() or "" for t in batch.column(1)])
+            yield pa.record_batch([batch.column(0), pa.array([waiting(i + last) for i in found], pa.binary())], names=["doc_id", "ids"])
 
     return run
 
 
+def waiting(ids: bytes) -> bytes:
+    """The inverse of unpack()."""
+    own = np.frombuffer(ids, "<u4")
+    return own.astype("<u2").tobytes() if own.max() < 65_536 else b"+" + ids
+
+
 def unpack(ids: bytes) -> np.ndarray:
     """Ids as they wait for the tables: 16-bit, or an odd length that begins with ``+`` and goes on in 32-bit."""
     return np.frombuffer(ids, "<u2").astype(np.uint32) if len(ids) % 2 == 0 else np.frombuffer(ids, "<u4", offset=1)
