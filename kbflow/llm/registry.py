@@ -7,14 +7,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from kbflow.llm.byte_bpe import op6_byte_bpe
+from kbflow.llm.packing import op7_packing
+from kbflow.llm.secrets import op2_secret_scan
 from kbflow.llm.simhash_dedup import op1_simhash_dedup
 from kbflow.llm.token_files import op5_token_files
 from kbflow.llm.toxicity import op9_toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash_dedup": op1_simhash_dedup,
+    "op2_secret_scan": op2_secret_scan,
     "op5_token_files": op5_token_files,
     "op6_byte_bpe": op6_byte_bpe,
+    "op7_packing": op7_packing,
     "op9_toxicity": op9_toxicity,
 }
 SQL: dict[str, str] = {}

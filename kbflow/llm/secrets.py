@@ -41,7 +41,8 @@ class _Encoding:
         self.k = k = len(alphabet)
         self.value = np.full(128, -1, np.int64)
         self.value[[ord(c) for c in alphabet]] = np.arange(k)
-        share = np.array([_WRITTEN[c] for c in alphabet])
+        small = any(c.islower() for c in alphabet)
+        share = np.array([_WRITTEN[c if small else c.lower()] for c in alphabet])  # capitals alone are written like small letters
         share = share / share.sum()
         self.mean_0, self.bend = k * (share * (1 - share)).sum(), k * ((share - 1 / k) ** 2).sum()
 
