@@ -84,3 +84,10 @@ def components(edges: DataFrame, first: str, second: str) -> DataFrame:
 
 def _mark(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.sum(F.hash("v", "u").cast("long"))).first())
+
+
+def within(df: DataFrame, rows: int, *sized: str, size: int = 32 << 20) -> bool:
+    """Whether ``df`` has at most ``rows`` rows, and its columns ``sized`` at most ``size`` bytes in all: the check before a broadcast."""
+    total = sum((F.coalesce(F.octet_length(F.col(c).cast("string")), F.lit(0)) for c in sized), F.lit(0))
+    n, held = df.limit(rows + 1).agg(F.count(F.lit(1)), F.coalesce(F.sum(total), F.lit(0))).first()
+    return n <= rows and held <= size
