@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from kbflow.llm import host_quality, url_rules
+from kbflow.llm import host_quality, metric_tree, url_rules
 from kbflow.llm.byte_bpe import op6_byte_bpe
 from kbflow.llm.packing import op7_packing
 from kbflow.llm.secrets import op2_secret_scan
@@ -23,8 +23,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_packing": op7_packing,
     "op8_url_rules": url_rules.op8_url_rules,
     "op9_toxicity": op9_toxicity,
+    "op10_metric_tree": metric_tree.op10_metric_tree,
 }
 SQL: dict[str, str] = {
     "op3_host_quality": host_quality.SQL,
     "op8_url_rules": url_rules.SQL,
+    "op10_metric_tree": metric_tree.SQL,
 }
