@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from kbflow.llm import host_quality, metric_tree, url_rules
+from kbflow.llm import host_quality, line_dedup, metric_tree, url_rules
 from kbflow.llm.byte_bpe import op6_byte_bpe
 from kbflow.llm.packing import op7_packing
 from kbflow.llm.secrets import op2_secret_scan
@@ -18,6 +18,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash_dedup": op1_simhash_dedup,
     "op2_secret_scan": op2_secret_scan,
     "op3_host_quality": host_quality.op3_host_quality,
+    "op4_line_dedup": line_dedup.op4_line_dedup,
     "op5_token_files": op5_token_files,
     "op6_byte_bpe": op6_byte_bpe,
     "op7_packing": op7_packing,
