@@ -213,9 +213,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with the document of the smallest id of each near-duplicate group; of repeated rows one stays. Rows without an id pass unjudged."""
-    kept = near_duplicates(docs, id_col, text_col).where("doc_id = component_id").select(F.col("doc_id").alias("__kept")).distinct()
-    found = docs.where(F.col(id_col).isNotNull()).join(kept, F.col(id_col).cast("long") == F.col("__kept"), "left_semi")
-    return found.dropDuplicates([id_col]).unionByName(docs.where(F.col(id_col).isNull()))
+    own = Table(near_duplicates(docs, id_col, text_col), "own").df
+    kept = own.where("doc_id = component_id").groupBy(F.col("doc_id").alias("__kept")).agg(F.count(F.lit(1)).alias("__rows"))
+    found = docs.where(F.col(id_col).isNotNull()).join(kept.where("__rows = 1"), F.col(id_col).cast("long") == F.col("__kept"), "left_semi")
+    again = docs.where(F.col(id_col).isNotNull()).join(kept.where("__rows > 1"), F.col(id_col).cast("long") == F.col("__kept"), "left_semi").dropDuplicates([id_col])
+    return found.unionByName(again).unionByName(docs.where(F.col(id_col).isNull()))
 
 
 def op1_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
