@@ -18,6 +18,8 @@ SAMPLE = 1500
 #: Features of the whole sample at most; rows beyond it, in order of their hash, are left out of the fit.
 ENTRIES = 24_000_000
 THRESHOLD = 0.7
+#: Entries of features that a step of the fit works on together.
+PART = 1 << 20
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
@@ -74,24 +76,33 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, l2: float = 1e-3, steps: int
     if not len(labels) or labels.min() == labels.max():
         share = np.clip(labels.mean() if len(labels) else 0.5, 1e-6, 1 - 1e-6)
         return Model(np.zeros(1 << bits, np.float32), float(np.log(share / (1 - share))), ngrams, bits)
-    filled = [i for i, r in enumerate(rows) if len(r)]
+    filled = np.array([i for i, r in enumerate(rows) if len(r)], np.int64)
     sizes = np.array([len(rows[i]) for i in filled], np.int64)
-    index = np.concatenate([rows[i] for i in filled]).astype(np.int32) if filled else np.zeros(0, np.int32)
-    first = np.concatenate([[0], np.cumsum(sizes)[:-1]]).astype(np.int64) if filled else sizes
-    of = np.repeat(np.asarray(filled, np.int32), sizes)
+    ends = np.cumsum(sizes)
+    index = np.concatenate([rows[i] for i in filled]).astype(np.int32, copy=False) if len(filled) else np.zeros(0, np.int32)
     size = 1 << bits
-    p = 1 + np.bincount(index, weights=labels[of], minlength=size)
-    q = 1 + np.bincount(index, weights=1 - labels[of], minlength=size)
+    cuts = np.searchsorted(ends, np.arange(0, len(index), PART), side="left") if len(filled) else []
+    parts = [(lo, hi, int(ends[lo] - sizes[lo]), int(ends[hi - 1])) for lo, hi in zip(cuts, [*cuts[1:], len(filled)], strict=True) if lo < hi]
+
+    def summed(of_row: np.ndarray) -> np.ndarray:
+        """For each feature the sum of ``of_row`` over the rows that have it; a part at a time, so that nothing of all entries' size is made."""
+        out = np.zeros(size)
+        for lo, hi, s, e in parts:
+            out += np.bincount(index[s:e], weights=np.repeat(of_row[filled[lo:hi]], sizes[lo:hi]), minlength=size)
+        return out
+
+    p, q = 1 + summed(labels), 1 + summed(1 - labels)
     ratio = np.log(p / p.sum()) - np.log(q / q.sum())
     weight = np.where(labels == 1, 0.5 / labels.sum(), 0.5 / (1 - labels).sum())  # both classes count alike
     w, b = np.zeros(size), 0.0
     mean, var, mean_b, var_b = np.zeros(size), np.zeros(size), 0.0, 0.0
     for t in range(1, steps + 1):
         z = np.full(len(labels), b)
-        if filled:
-            z[filled] += np.add.reduceat((w * ratio)[index], first)
+        scaled = w * ratio
+        for lo, hi, s, e in parts:
+            z[filled[lo:hi]] += np.add.reduceat(scaled[index[s:e]], ends[lo:hi] - sizes[lo:hi] - s)
         off = (1 / (1 + np.exp(-np.clip(z, -40, 40))) - labels) * weight
-        grad, grad_b = np.bincount(index, weights=off[of], minlength=size) * ratio + l2 * w, off.sum()
+        grad, grad_b = summed(off) * ratio + l2 * w, off.sum()
         mean, var = 0.9 * mean + 0.1 * grad, 0.99 * var + 0.01 * grad * grad
         mean_b, var_b = 0.9 * mean_b + 0.1 * grad_b, 0.99 * var_b + 0.01 * grad_b * grad_b
         step = rate / (1 - 0.9**t)
@@ -117,12 +128,12 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col:
     chosen = own.where("label = 1").orderBy("h", "k").limit(sample).unionByName(own.where("label = 0").orderBy("h", "k").limit(sample))
     texts = docs.select(F.col(id_col).cast("long").alias("k"), F.col(text_col).cast("string").alias("text"))
     found = texts.join(F.broadcast(chosen), "k").select("text", "label", "h").mapInArrow(_sample, "x binary, label int, h long")
-    rows, kept, total = sorted(found.collect(), key=lambda r: (r.h, r.label, bytes(r.x))), [], 0
+    rows, kept, total = sorted(found.collect(), key=lambda r: (r.h, r.label, r.x)), [], 0
     for r in rows:
         if (total := total + len(r.x) // 4) > ENTRIES:
             break
         kept.append(r)
-    return fit([np.frombuffer(bytes(r.x), np.int32) for r in kept], np.array([r.label for r in kept]))
+    return fit([np.frombuffer(r.x, np.int32) for r in kept], np.array([r.label for r in kept]))
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
