@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-import re
 import zlib
-from collections import deque
 from collections.abc import Iterator
 
 import numpy as np
@@ -13,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kbflow.llm.chunks import BlankCut, once, packed
+from kbflow.llm.chunks import SENTENCES, Encoded, gather, once
 
 VOCABULARY = "byte_bpe_50k.json"
 SIZE, END = 1024, 0
@@ -21,39 +19,8 @@ SIZE, END = 1024, 0
 AT_DOCUMENT, AT_SENTENCE, ELSEWHERE = 0, 2, 24
 #: Ids between two places that may be cut at most.
 STRIDE = 64
-#: Ids that are planned together; the last sequences of a plan are planned again with what follows.
-HORIZON = 1 << 18
-_ENDS = (".", "!", "?", "…", "。", "！", "？", "\n")
-#: White space next to a blank or line end: then the line ends are no places to cut.
-_UNSAFE = re.compile(r"\s[ \n]|[ \n]\s|\A[ \n]|[ \n]\Z")
-
-
-class Marked(BlankCut):
-    """Ids of a text, and the places in them where a sentence or line ends."""
-
-    def parts(self, text: str) -> list[str]:
-        """Pieces begin at a blank, or after a line end, between two other characters."""
-        if not text:
-            return []
-        if _UNSAFE.search(text):
-            return super().parts(text)
-        return text.replace("\n", "\n\x00").replace(" ", "\x00 ").split("\x00") if "\x00" not in text else super().parts(text)
-
-    def marked(self, texts: list[str]) -> list[tuple[bytes, np.ndarray]]:
-        out = []
-        ids = self.many(texts)
-        for text, own in zip(texts, ids, strict=True):
-            parts = self.parts(text)
-            ends = [i for i, p in enumerate(parts) if p.endswith(_ENDS)]
-            if not ends:
-                out.append((own, np.zeros(0, np.int64)))
-                continue
-            known = self.known
-            sizes = np.fromiter((len(known[p]) if p in known else -1 for p in parts), np.int64, len(parts))
-            if (gone := np.flatnonzero(sizes < 0)).size:
-                sizes[gone] = [len(x) for x in self.encode([parts[i] for i in gone])]
-            out.append((own, np.cumsum(sizes)[ends] // 4))
-        return out
+#: Ids after which settled sequences are written, and bytes of text of a task, about.
+HORIZON, TASK_BYTES = 1 << 18, 16 << 20
 
 
 def fill(places: np.ndarray, costs: np.ndarray, stride: int = STRIDE) -> tuple[np.ndarray, np.ndarray]:
@@ -68,132 +35,177 @@ def fill(places: np.ndarray, costs: np.ndarray, stride: int = STRIDE) -> tuple[n
     return all_places[order], all_costs[order]
 
 
-def plan(places: list[int], costs: list[int], size: int = SIZE) -> list[int]:
-    """The cuts that minimise padding plus costs: indices of places, without the first.
+class Plan:
+    """The cuts that minimise padding plus costs, found as places come.
 
     A sequence of n ids is padded to ``size``, unless n is a power of two. best[j] = costs[j] + the least of
     best[i] + size - (places[j] - places[i]) over windows of at most ``size`` (a monotone queue of best[i] + places[i])
-    and of best[i] over windows of a power of two (a look-up for each power). Neighbouring places are at most ``size``
-    apart. Ties go to the longer window.
+    and of best[i] over windows of a power of two. Neighbouring places are at most ``size`` apart. Ties go to the longer
+    window. Cuts are settled as far as all plans agree that a later place may still end in, so they are those that one
+    plan over the whole stream has.
     """
-    best, came = [0.0] * len(places), [0] * len(places)
-    powers = [1 << k for k in range(size.bit_length()) if 1 << k <= size]
-    where = {places[0]: 0}
-    queue: deque[int] = deque([0])
-    for j in range(1, len(places)):
-        at = places[j]
-        while places[queue[0]] < at - size:
-            queue.popleft()
-        i = queue[0]
-        least, source = best[i] + size - at + places[i], i
-        for n in powers:
-            if (k := where.get(at - n)) is not None and (best[k] < least or best[k] == least and k < source):
-                least, source = best[k], k
-        best[j], came[j] = least + costs[j], source
-        where[at] = j
-        key = best[j] + at
-        while queue and best[queue[-1]] + places[queue[-1]] > key:
-            queue.pop()
-        queue.append(j)
-    cuts, j = [], len(places) - 1
-    while j:
-        cuts.append(j)
-        j = came[j]
-    return cuts[::-1]
+
+    def __init__(self, size: int = SIZE) -> None:
+        self.size = size
+        self.powers = [1 << k for k in range(size.bit_length()) if 1 << k < size]
+        self.places, self.best, self.came = [0], [0], [0]
+        self.queue, self.keys = [0], [0]
+
+    def extend(self, places: np.ndarray, costs: np.ndarray) -> None:
+        """Places after the last one, ascending."""
+        if not len(places):
+            return
+        lo, own = len(self.places), self.places
+        # only what a window can reach
+        known = np.concatenate([np.asarray(own[max(0, lo - self.size) :], np.int64), places])
+        shift = lo - (len(known) - len(places))
+        later, sooner = [], []
+        for n in self.powers:
+            at = np.searchsorted(known, places - n)
+            met = np.flatnonzero(known[at] == places - n)
+            later.append(met + lo)
+            sooner.append(at[met] + shift)
+        later, sooner = np.concatenate([*later, [lo + len(places)]]), np.concatenate([*sooner, [0]])
+        order = np.argsort(later, kind="stable")
+        later, sooner = later[order].tolist(), sooner[order].tolist()
+        own.extend(places.tolist())
+        best, came, queue, keys, size = self.best, self.came, self.queue, self.keys, self.size
+        head = hit = 0
+        for j, cost in enumerate(costs.tolist(), lo):
+            at = own[j]
+            while own[queue[head]] < at - size:
+                head += 1
+            source = queue[head]
+            least = keys[head] + size - at
+            while later[hit] == j:
+                k = sooner[hit]
+                hit += 1
+                if best[k] < least or best[k] == least and k < source:
+                    least, source = best[k], k
+            least += cost
+            best.append(least)
+            came.append(source)
+            key = least + at
+            while len(keys) > head and keys[-1] > key:
+                keys.pop()
+                queue.pop()
+            queue.append(j)
+            keys.append(key)
+        del queue[:head], keys[:head]
+
+    def settle(self, final: bool) -> list[int]:
+        """Places of the cuts that no later place changes; what is left counts from the last of them."""
+        last = len(self.places) - 1
+        if not final:
+            open_ = np.zeros(last + 1, bool)
+            first = int(np.searchsorted(self.places, self.places[last] - self.size))
+            open_[first:] = True
+            n, at = last + 1 - first, last
+            while n > 1:
+                if open_[at]:
+                    if open_[self.came[at]]:
+                        n -= 1
+                    open_[at], open_[self.came[at]] = False, True
+                at -= 1
+            last = int(np.flatnonzero(open_)[0])
+        cuts, j = [], last
+        while j:
+            cuts.append(self.places[j])
+            j = self.came[j]
+        base, paid = self.places[last], self.best[last]
+        self.places = [p - base for p in self.places[last:]]
+        self.best = [b - paid for b in self.best[last:]]
+        self.came = [max(0, c - last) for c in self.came[last:]]
+        self.queue = [q - last for q in self.queue]
+        self.keys = [k - base - paid for k in self.keys]
+        return cuts[::-1]
 
 
 class _Stream:
-    """Documents in order, planned a horizon at a time."""
+    """Documents in order; only those whose sequences are not settled yet are held."""
 
     def __init__(self, size: int, horizon: int) -> None:
-        self.size, self.horizon = size, horizon
-        self.docs: list[tuple[object, np.ndarray, int]] = []  # id, ids that are left, ids before them
-        self.places: list[np.ndarray] = []
-        self.costs: list[np.ndarray] = []
-        self.waiting, self.sequence = 0, 0
-
-    def add(self, doc_id, ids: bytes, ends: np.ndarray, last: bytes) -> None:
-        own = np.frombuffer(ids + last, "<u4")
-        self.docs.append((doc_id, own, 0))
-        inner = ends[(ends > 0) & (ends < len(own))]
-        self.places.append(np.concatenate([inner, [len(own)]]) + self.waiting)
-        self.costs.append(np.concatenate([np.full(len(inner), AT_SENTENCE, np.int64), [AT_DOCUMENT]]))
-        self.waiting += len(own)
+        self.plan, self.size, self.horizon = Plan(size), size, horizon
+        self.ids, self.doc_ids = [np.zeros(0, np.uint32)], []
+        self.begin, self.end = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.waiting, self.sequence, self.due = 0, 0, horizon
+
+    def add(self, doc_ids: list, found: Encoded, last: int) -> None:
+        n = found.end - found.begin
+        ids, ends = gather(found.ids, found.begin, n, np.arange(len(n)))
+        whole = np.arange(1, len(n) + 1) + ends  # with the end id
+        order = np.argsort(found.begin, kind="stable")
+        at = np.searchsorted(found.end[order], found.marks)
+        own = order[at]
+        inner = found.marks < found.end[own]
+        marks = (found.marks - found.begin[own] + (whole - n - 1)[own])[inner]
+        places = np.concatenate([marks, whole])
+        costs = np.concatenate([np.full(len(marks), AT_SENTENCE, np.int64), np.full(len(whole), AT_DOCUMENT, np.int64)])
+        order = np.argsort(places, kind="stable")
+        fine, fine_costs = fill(np.concatenate([[0], places[order]]), np.concatenate([[0], costs[order]]), min(STRIDE, self.size))
+        self.plan.extend(fine[1:] + self.waiting, fine_costs[1:])
+        self.ids.append(np.insert(ids, ends, last).astype("<u4"))
+        self.doc_ids += doc_ids
+        self.begin = np.concatenate([self.begin, whole - n - 1 + self.waiting])
+        self.end = np.concatenate([self.end, whole + self.waiting])
+        self.waiting += len(self.ids[-1])
 
     def full(self) -> bool:
-        return self.waiting >= self.horizon
-
-    def take(self, final: bool) -> list[tuple]:
-        """Pieces (doc_id, start, ids, doc_tokens, sequence, offset) of the sequences that are settled."""
-        if not self.waiting:
-            return []
-        places = np.concatenate([np.zeros(1, np.int64), *self.places])
-        costs = np.concatenate([np.zeros(1, np.int64), *self.costs])
-        fine, fine_costs = fill(places, costs, min(STRIDE, self.size))
-        cuts = fine[plan(fine.tolist(), fine_costs.tolist(), self.size)]
-        if not final:
-            cuts = cuts[: max(1, len(cuts) - 16)]
-        limit = int(cuts[-1])
-        sizes = np.array([len(d[1]) for d in self.docs], np.int64)
-        ends = np.cumsum(sizes)
-        marks = np.union1d(cuts, ends[ends <= limit])
-        starts = np.concatenate([[0], marks[:-1]])
-        of_doc = np.searchsorted(ends, starts, side="right")
+        return self.waiting >= self.due
+
+    def take(self, final: bool, with_ids: bool) -> list[pa.Array]:
+        """Pieces of the settled sequences: doc_id, start, length, ids_crc32, doc_tokens, sequence, offset[, ids]."""
+        cuts = np.array(self.plan.settle(final), np.int64)
+        limit = int(cuts[-1]) if len(cuts) else 0
+        ids = np.concatenate(self.ids)
+        marks = np.union1d(cuts, self.end[self.end <= limit])
+        starts = np.concatenate([[0], marks[:-1]]) if len(marks) else marks
+        of_doc = np.searchsorted(self.end, starts, side="right")
         of_cut = np.searchsorted(cuts, starts, side="right")
-        begin_doc, begin_cut = (ends - sizes)[of_doc], np.concatenate([[0], cuts])[of_cut]
-        out = []
-        for s, e, d, c, bd, bc in zip(starts.tolist(), marks.tolist(), of_doc.tolist(), of_cut.tolist(), begin_doc.tolist(), begin_cut.tolist(), strict=True):
-            doc_id, ids, before = self.docs[d]
-            out.append((doc_id, before + s - bd, ids[s - bd : e - bd], before + len(ids), self.sequence + c, s - bc))
+        raw = memoryview(np.ascontiguousarray(ids)).cast("B")
+        pieces = list(zip((4 * starts).tolist(), (4 * marks).tolist(), strict=True))
+        columns = [
+            pa.array([self.doc_ids[d] for d in of_doc.tolist()], pa.int64()), pa.array(starts - self.begin[of_doc]), pa.array(marks - starts), pa.array([zlib.crc32(raw[s:e]) for s, e in pieces], pa.int64()),
+            pa.array((self.end - self.begin)[of_doc]), pa.array(self.sequence + of_cut), pa.array(starts - np.concatenate([[0], cuts])[of_cut]),
+        ]
+        if with_ids:
+            columns.append(pa.array([bytes(raw[s:e]) for s, e in pieces], pa.binary()))
         self.sequence += len(cuts)
-        kept = int(np.searchsorted(ends, limit, side="right"))
-        rest = self.docs[kept:]
-        if rest and (done := limit - int(ends[kept] - sizes[kept])) > 0:
-            doc_id, ids, before = rest[0]
-            rest[0] = (doc_id, ids[done:], before + done)
-        self.docs = rest
-        left = places > limit
-        self.places, self.costs, self.waiting = [places[left] - limit], [costs[left]], self.waiting - limit
-        return out
-
-
-def pack(docs: DataFrame, path: str, size: int = SIZE, end: int = END, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False, horizon: int = HORIZON) -> DataFrame:
+        done = int(np.searchsorted(self.end, limit, side="right"))
+        self.ids, self.doc_ids = [ids[limit:]], self.doc_ids[done:]
+        self.begin, self.end = self.begin[done:] - limit, self.end[done:] - limit
+        self.waiting -= limit
+        self.due = max(self.horizon, 2 * self.waiting)
+        return columns
+
+
+def pack(docs: DataFrame, path: str, size: int = SIZE, end: int = END, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False, horizon: int = HORIZON, task_bytes: int = TASK_BYTES) -> DataFrame:
     """Pieces of documents in sequences of at most ``size`` ids: (doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset[, ids]).
 
     A document is its whole text's ids and ``end``; null texts are empty. Documents follow each other by doc_id (null
-    ids first, rows of one id by their text, each a document of its own); ranges of doc_id are packed apart, each by
-    a task that holds no more than a horizon and one document. sequence_id is unique and ascends with doc_id, with
-    gaps between ranges. Other columns are not read; an empty table has no pieces.
+    ids first, rows of one id by their text, each a document of its own). Ranges of them, of ``task_bytes`` of text or
+    one document, are packed apart, each by the cuts of least cost over the whole range; a task holds what is not
+    settled yet, about ``horizon`` ids, and a run of texts. sequence_id is unique and ascends with doc_id, with gaps
+    between ranges. Other columns are not read; an empty table has no pieces.
     """
-    spark = docs.sparkSession
-    parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    last = packed([end])
     names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence", "offset", "ids"][: 8 if with_ids else 7]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, stream = once(Marked, path), _Stream(size, horizon)
-
-        def rows(final: bool) -> pa.RecordBatch:
-            found = stream.take(final)
-            raw = [p[2].tobytes() for p in found]
-            columns = [[p[0] for p in found], [p[1] for p in found], [len(p[2]) for p in found], [zlib.crc32(r) for r in raw], [p[3] for p in found], [p[4] for p in found], [p[5] for p in found]]
-            arrays = [pa.array(c, pa.int64()) for c in columns] + [pa.array(raw, pa.binary())] * with_ids
-            return pa.record_batch(arrays, names=names)
-
+        own, stream = once(SENTENCES, path), _Stream(size, horizon)
         for batch in batches:
-            texts = batch.column(1)
-            for at in range(0, len(texts), 256):
-                ids = batch.column(0).slice(at, 256).to_pylist()
-                for doc_id, (found, ends) in zip(ids, own.marked([t.as_py() or "" for t in texts.slice(at, 256)]), strict=True):
-                    stream.add(doc_id, found, ends, last)
-                    if stream.full():
-                        yield rows(False)
-        yield rows(True)
+            for at, found in own.many(batch.column(1)):
+                stream.add(batch.column(0).slice(at, len(found.begin)).to_pylist(), found, end)
+                if stream.full():
+                    yield pa.record_batch(stream.take(False, with_ids), names=names)
+        yield pa.record_batch(stream.take(True, with_ids), names=names)
 
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    held = source.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    keys = ["doc_id", "h", "row"]
+    keyed = source.withColumn("h", F.xxhash64("text")).withColumn("row", F.monotonically_increasing_id())
+    ordered = keyed.repartitionByRange(max(1, -(-held // task_bytes)), *keys).sortWithinPartitions(*keys).select("doc_id", "text")
     kind = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence long, offset long" + ", ids binary" * with_ids
-    pieces = source.repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", "text").mapInArrow(run, kind)
-    return pieces.withColumn("sequence_id", F.shiftleft(F.spark_partition_id().cast("long"), 40) + F.col("sequence")).select(*[n if n != "sequence" else "sequence_id" for n in names])
+    return ordered.mapInArrow(run, kind).withColumn("sequence_id", F.shiftleft(F.spark_partition_id().cast("long"), 40) + F.col("sequence")).select(*[n if n != "sequence" else "sequence_id" for n in names])
 
 
 def sequences(pieces: DataFrame, size: int = SIZE, pad: int = END) -> DataFrame:

@@ -13,18 +13,22 @@ from pyspark.sql import functions as F
 #: White space of the contracts: blank and U+0009 to U+000D, and no other.
 BLANKS = " \t\n\x0b\x0c\r"
 WORD = r"[^\x20\x09-\x0D]+"
-_made: dict[str, str] = {}
 
 
 def work_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or an own one where that is unset."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = _made.get("own")
-        if base is None:
-            base = _made["own"] = tempfile.mkdtemp(prefix="kbflow-")
-        if spark.sparkContext.getCheckpointDir() is None:
-            spark.sparkContext.setCheckpointDir(base)
+    """The folder that driver and executors share: spark.checkpoint.dir.
+
+    Where it is unset, an own folder serves a driver that is its own executor, as in tests; on a cluster that would be
+    another folder on each machine, so there it is an error.
+    """
+    if base := spark.conf.get("spark.checkpoint.dir", None):
+        return base
+    if not spark.sparkContext.master.split("[")[0] == "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    base = tempfile.mkdtemp(prefix="kbflow-")
+    spark.conf.set("spark.checkpoint.dir", base)
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(base)
     return base
 
 
@@ -40,15 +44,21 @@ def _at_exit(spark: SparkSession, path: str) -> None:
             drop_path(spark, path)
 
 
+def work_path(spark: SparkSession, name: str) -> str:
+    """A new place in the shared folder, deleted at exit."""
+    path = f"{work_dir(spark).rstrip('/')}/kbflow/{name}-{uuid.uuid4().hex}"
+    atexit.register(_at_exit, spark, path)
+    return path
+
+
 class Table:
     """A DataFrame written as Parquet into the shared folder and read again: cuts the lineage and outlives executors."""
 
     def __init__(self, df: DataFrame, name: str) -> None:
         self.spark = df.sparkSession
-        self.path = f"{work_dir(self.spark).rstrip('/')}/kbflow/{name}-{uuid.uuid4().hex}"
+        self.path = work_path(self.spark, name)
         df.write.parquet(self.path)
         self.df = self.spark.read.schema(df.schema).parquet(self.path)
-        atexit.register(_at_exit, self.spark, self.path)
 
     def drop(self) -> None:
         """For tables that no later plan reads."""

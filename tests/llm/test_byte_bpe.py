@@ -3,13 +3,14 @@ import hashlib
 import random
 
 import numpy as np
+import pyarrow as pa
 import public_tokenizers as P
 import pytest
 import tiktoken
 from tokenizers import Tokenizer
 
 from kbflow.llm import byte_bpe as B
-from kbflow.llm.chunks import BlankCut, WordCut, once
+from kbflow.llm.chunks import BLANKS, SENTENCES, WORDS, once
 
 PATH = P.path(B.MULTI)
 ODD = ["", " ", "  ", "a", " a", "a ", "a  b", "a \n b", "\n\n  x\t y", "erere ererere aaaaaaaaaaa =======", "don't we'll 'S", "x\x1cy \x1dz", " a  b　c", "日本語 テキスト", "é éa ́b", "👩‍👩‍👧 🇩🇪", "١٢٣ ²½ 12345", "a" * 3000, " " * 500 + "x", "Σίσυφος İstanbul ǅ", "\r\n\r\n", "<|endoftext|> x", "\x85 ᠎ ​ x"]
@@ -35,11 +36,22 @@ def test_as_tiktoken(exact):
 
 
 def test_other_files_as_the_library():
-    for name, kind in (("byte_bpe_50k.json", BlankCut), ("word_bpe_49k.json", WordCut)):
+    for name, rule in (("byte_bpe_50k.json", BLANKS), ("byte_bpe_50k.json", SENTENCES), ("word_bpe_49k.json", WORDS)):
         own = Tokenizer.from_file(P.path(name))
         own.encode_special_tokens = True
-        for text in ODD + noise(3000, 2):
-            assert np.frombuffer(once(kind, P.path(name))(text), "<u4").tolist() == own.encode(text, add_special_tokens=False).ids, repr(text)
+        texts = ODD + noise(3000, 2)
+        got = [found.of(i).tolist() for _, found in once(rule, P.path(name)).many(pa.array([None, *texts])) for i in range(len(found.begin))]
+        assert got == [[], *(own.encode(text, add_special_tokens=False).ids for text in texts)]
+
+
+def test_forgotten_words(monkeypatch):
+    from kbflow.llm import chunks
+
+    texts = noise(400, 3)
+    want = [B.encode_text(t, PATH) for t in texts]
+    monkeypatch.setattr(chunks, "CACHED", 20)
+    monkeypatch.setattr(chunks, "TOGETHER", 200)
+    assert B.encode_texts(texts, PATH) == want
 
 
 def test_documents_and_round_trip(spark, sf, exact):
@@ -61,6 +73,14 @@ def test_rows(spark):
     assert B.encode(frame.limit(0), PATH).count() == 0
 
 
+def test_clashing_columns(spark):
+    frame = B.encode(spark.createDataFrame([(1, "né")], "doc_id long, text string"), PATH)
+    row = B.decode(frame.selectExpr("*", "'x' AS text", "1 AS bytes"), PATH).first()
+    assert (row.text, bytes(row.bytes)) == ("né", "né".encode())
+    with pytest.raises(KeyError):
+        B.decode_ids(np.asarray([10**6], "<u4").tobytes(), PATH)
+
+
 def test_split_characters():
     ids = B.encode_text("日本👩 x", PATH)
     parts = [ids[i : i + 4] for i in range(0, len(ids), 4)]

@@ -3,12 +3,13 @@ from collections import defaultdict
 
 import numpy as np
 import public_tokenizers as P
+import pyarrow as pa
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
 from kbflow.llm import packing as K
-from kbflow.llm.chunks import once
+from kbflow.llm.chunks import SENTENCES, once
 
 PATH = P.path(K.VOCABULARY)
 
@@ -27,14 +28,19 @@ def slow(places, costs, size):
 
 
 @settings(max_examples=200, deadline=None)
-@given(st.lists(st.tuples(st.integers(1, 12), st.sampled_from([0, 2, 24])), min_size=1, max_size=60), st.sampled_from([12, 16, 20]))
-def test_plan_is_optimal(steps, size):
+@given(st.lists(st.tuples(st.integers(1, 12), st.sampled_from([0, 2, 24])), min_size=1, max_size=60), st.sampled_from([12, 16, 20]), st.sampled_from([1, 3, 7, 60]))
+def test_plan_is_optimal(steps, size, run):
     places = np.cumsum([0] + [s for s, _ in steps]).tolist()
     costs = [0] + [c for _, c in steps]
-    cuts = K.plan(places, costs, size)
-    at = [0] + [places[c] for c in cuts]
+    own, cuts, base = K.Plan(size), [], 0
+    for k in range(1, len(places), run):  # as places come, settled in between
+        own.extend(np.array(places[k : k + run]) - base, np.array(costs[k : k + run]))
+        cuts += [base + c for c in own.settle(k + run >= len(places))]
+        base = cuts[-1] if cuts else 0
+    at = [0, *cuts]
+    of = dict(zip(places, costs, strict=True))
     assert at[-1] == places[-1] and all(0 < b - a <= size for a, b in zip(at, at[1:]))
-    assert sum(pad(b - a, size) for a, b in zip(at, at[1:])) + sum(costs[c] for c in cuts) == slow(places, costs, size)
+    assert sum(pad(b - a, size) for a, b in zip(at, at[1:])) + sum(of[c] for c in cuts) == slow(places, costs, size)
 
 
 def test_fill():
@@ -42,14 +48,32 @@ def test_fill():
     assert places.tolist() == [0, 10, 74, 138, 200, 264] and costs.tolist() == [0, 2, 24, 24, 0, 0]
 
 
-def test_marked_as_the_library():
+def test_marks():
     own = Tokenizer.from_file(PATH)
     own.encode_special_tokens = True
-    for text in ["", "A b. C d\nE f! g", "a  b.\n\nc", " x.", "x\x00 y. z", "word " * 300, "日本。語\nx"]:
-        ids, ends = once(K.Marked, PATH).marked([text])[0]
-        assert np.frombuffer(ids, "<u4").tolist() == own.encode(text, add_special_tokens=False).ids
-        for e in ends:
-            assert own.decode(np.frombuffer(ids, "<u4")[:e].tolist()).endswith(K._ENDS)
+    texts = ["", "A b. C d\nE f! g", "a  b.\n\nc", " x.", "x\x00 y. z", "", "word " * 300, "日本。語\nx", "Mr. X, y? z"]
+    [(_, found)] = once(SENTENCES, PATH).many(pa.array(texts))
+    ends = [[own.decode(found.of(i)[: m - found.begin[i]].tolist()) for m in found.marks.tolist() if found.begin[i] < m < found.end[i]] for i in range(len(texts))]
+    assert ends[1] == ["A b.", "A b. C d\n", "A b. C d\nE f!"] and ends[8] == ["Mr.", "Mr. X, y?"] and ends[0] == ends[5] == ends[6] == []
+    assert all(e.endswith((".", "!", "?", "…", "。", "！", "？", "\n")) for own in ends for e in own)
+
+
+def test_settled_as_one_plan():
+    """Padding and costs of a stream that is settled early are those of a plan over all of it."""
+    rng = np.random.default_rng(4)
+    places = np.unique(np.cumsum(rng.integers(1, 64, 4000)))
+    costs = rng.choice([0, 2, 24], len(places))
+    whole = K.Plan(1024)
+    whole.extend(places, costs)
+    want = whole.settle(True)
+    parts, cuts, base = K.Plan(1024), [], 0
+    for k in range(0, len(places), 500):
+        parts.extend(places[k : k + 500] - base, costs[k : k + 500])
+        cuts += [base + c for c in parts.settle(False)]
+        base = cuts[-1] if cuts else 0
+    assert len(cuts) > 50
+    cuts += [base + c for c in parts.settle(True)]
+    assert cuts == want
 
 
 def verify(rows, docs, size=1024):
@@ -81,7 +105,7 @@ def test_documents(spark, sf):
     docs = {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
     docs |= {-1: None, 10**9: "", 10**9 + 1: "x" * 9000, 10**9 + 2: "long line without an end " * 4000}
     frame = spark.createDataFrame([(i, t, 0) for i, t in docs.items()], "doc_id long, text string, offset int")
-    pieces = K.pack(frame, PATH, horizon=20_000)
+    pieces = K.pack(frame, PATH, horizon=20_000, task_bytes=200_000)
     verify(pieces.collect(), docs)
     found = K.padding(pieces).first()
     assert found.padded < 0.02 * found.n_ids

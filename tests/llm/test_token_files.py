@@ -13,7 +13,7 @@ PATH = P.path(T.VOCABULARY)
 
 
 def table_of(ids):
-    return T.Frequencies(*np.unique(ids, return_counts=True)) if len(ids) else T.Frequencies(np.zeros(0), np.zeros(0))
+    return T.Frequencies.of(*np.unique(ids, return_counts=True)) if len(ids) else T.Frequencies.of(np.zeros(0), np.zeros(0))
 
 
 @settings(max_examples=60, deadline=None)
@@ -29,10 +29,10 @@ def test_round_trip(documents, lanes, every):
 
 def test_parts_damage_and_size():
     rng = np.random.default_rng(0)
-    ids = (rng.zipf(1.3, 200_000) % 49_000).astype(np.uint32)
+    ids = (rng.zipf(1.3, 400_000) % 49_000).astype(np.uint32)
     table = table_of(ids)
     block = T.encode_block([ids], table)
-    assert T.decode_block(block, table, range(1, 3))[0].tolist() == ids[128 * 512 : 3 * 128 * 512].tolist()
+    assert T.decode_block(block, table, range(1, 3))[0].tolist() == ids[128 * 1024 : 3 * 128 * 1024].tolist()
     p = np.unique(ids, return_counts=True)[1] / len(ids)
     assert len(block) < 1.1 * len(ids) * -(p * np.log2(p)).sum() / 8
     broken = bytearray(block)
@@ -58,6 +58,19 @@ def test_documents(spark, sf):
     assert sorted((r.doc_id, r.n_tokens, zlib.crc32(bytes(r.ids))) for r in files.read().collect()) == [(a, c, d) for a, _, c, d in want]
 
 
+def test_another_session_opens_the_files(spark, tmp_path):
+    frame = spark.createDataFrame([(2, "b c"), (1, "a")], "doc_id long, text string")
+    want = sorted(map(tuple, T.write(frame, PATH, out=str(tmp_path / "files")).digests().collect()))
+    assert [r[:2] for r in want] == [(1, 0), (2, want[0][2])]
+    assert sorted(map(tuple, T.TokenFiles(spark.newSession(), str(tmp_path / "files")).digests().collect())) == want
+
+
+def test_one_id_in_many_tasks(spark):
+    frame = spark.range(300).selectExpr("7L AS doc_id", "concat('word ', id % 3) AS text")
+    got = sorted(map(tuple, T.write(frame, PATH, task_ids=100).digests().collect()), key=lambda r: r[1])
+    assert len(got) == 300 and [r[1] for r in got] == np.cumsum([0] + [r[2] for r in got[:-1]]).tolist()
+
+
 def test_null_and_repeated_ids_and_empty(spark):
     frame = spark.createDataFrame([(None, "a b"), (5, "x"), (5, "x"), (5, "y z")], "doc_id long, text string")
     got = sorted(map(tuple, T.write(frame, PATH).digests().collect()), key=lambda r: r[1])
