@@ -15,18 +15,24 @@ BITS = 18
 #: Rows of each class that a model is fitted on at most, those of the smallest hashes of their ids: with at most
 #: 2**BITS features a row this bounds the driver's memory; typical rows have a hundredth of that.
 SAMPLE = 1500
-#: Features of the whole sample at most; rows beyond it, in order of their hash, are left out of the fit.
+#: Features of the whole sample that a fit takes at most, by default: with SAMPLE this bounds the driver's memory
+#: however long the sampled texts are. Rows beyond it, in order of their hash, are no part of the sample.
 ENTRIES = 24_000_000
 THRESHOLD = 0.7
 #: Entries of features that a step of the fit works on together.
 PART = 1 << 20
-_LOWER = np.arange(256, dtype=np.uint8)
-_LOWER[65:91] += 32
+
+
+def characters(text: str | None) -> np.ndarray:
+    """The code points of a text, A-Z lower-cased."""
+    raw = np.frombuffer((text or "").encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint32)
+    raw[(raw >= 65) & (raw <= 90)] += 32
+    return raw
 
 
 def features(text: str | None, ngrams: tuple[int, ...] = NGRAMS, bits: int = BITS) -> np.ndarray:
-    """The hashed n-grams of UTF-8 bytes that occur in a whole text, A-Z lower-cased, ascending and once each."""
-    raw = _LOWER[np.frombuffer((text or "").encode("utf-8", "surrogatepass"), np.uint8)].astype(np.uint32)
+    """The hashed n-grams of characters that occur in a whole text, ascending and once each."""
+    raw = characters(text)
     mark = _mark(bits)
     for n in ngrams:
         m = len(raw) - n + 1
@@ -117,20 +123,22 @@ def _sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch([pa.array(rows, pa.binary()), batch.column(1), batch.column(2)], names=["x", "label", "h"])
 
 
-def train(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE) -> Model:
+def train(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE, entries: int = ENTRIES) -> Model:
     """A model from the labelled rows: ``sample`` rows of each class at most, in the order of xxhash64(id); only these texts are read.
 
-    Rows with a null id, or a label other than 0 and 1, teach nothing. The sample is two times ``sample`` ids, so that
-    its side of the join with the texts has a size that no input changes, and it is broadcast.
+    Rows with a null id, or a label other than 0 and 1, teach nothing; of rows that repeat an id the least text does.
+    The sample is two times ``sample`` ids with ``entries`` features at most, a size that no input changes, so its side
+    of the join with the texts is broadcast.
     """
     own = labels.select(F.col(id_col).cast("long").alias("k"), F.col(label_col).cast("int").alias("label")).where("k IS NOT NULL AND label IN (0, 1)").distinct()
     own = own.withColumn("h", F.xxhash64("k"))
     chosen = own.where("label = 1").orderBy("h", "k").limit(sample).unionByName(own.where("label = 0").orderBy("h", "k").limit(sample))
     texts = docs.select(F.col(id_col).cast("long").alias("k"), F.col(text_col).cast("string").alias("text"))
-    found = texts.join(F.broadcast(chosen), "k").select("text", "label", "h").mapInArrow(_sample, "x binary, label int, h long")
+    held = texts.join(F.broadcast(chosen), "k").groupBy("k", "label", "h").agg(F.min("text").alias("text"))
+    found = held.select("text", "label", "h").mapInArrow(_sample, "x binary, label int, h long")
     rows, kept, total = sorted(found.collect(), key=lambda r: (r.h, r.label, r.x)), [], 0
     for r in rows:
-        if (total := total + len(r.x) // 4) > ENTRIES:
+        if (total := total + len(r.x) // 4) > entries:
             break
         kept.append(r)
     return fit([np.frombuffer(r.x, np.int32) for r in kept], np.array([r.label for r in kept]))

@@ -71,7 +71,7 @@ def judge(pages: DataFrame, rules: DataFrame, default: str = DEFAULT, id_col: st
     made = [F.when((dots >= labels - 1) & (F.length("path") >= size), F.sha2(F.concat(F.substring_index("host", ".", -labels), F.lit(" "), F.substring("path", 1, size)), 256)) for labels, size in shapes]
     own = source.select("page_id", "url", "task", F.explode(F.array(F.lit(""), *made)).alias("digest")).where("digest IS NOT NULL")
     own = own.withColumn("prefix", F.substring("digest", 1, PREFIX))
-    known = F.broadcast(known) if within(known, broadcast_rules) else known
+    known = F.broadcast(known) if within(known, broadcast_rules, "r_rule", "r_digest") else known
     met = own.join(known, "prefix", "left").withColumn("fits", F.col("digest") == F.col("r_digest"))
     best = F.max(F.when(F.col("fits"), F.struct(F.length("r_rule").alias("n"), "r_host", "r_verdict", "r_rule"))).alias("best")
     held = met.groupBy("task", "page_id", "url").agg(best, F.sum(F.when(F.col("digest") == "", 1).otherwise(0)).cast("int").alias("times"))
