@@ -181,9 +181,9 @@ class Words:
             marks = ends[marked[at]]
         return Encoded(ids, begin, end, marks)
 
-    def many(self, texts: pa.Array) -> Iterator[tuple[int, Encoded]]:
+    def many(self, texts: pa.Array, limit: int | None = None) -> Iterator[tuple[int, Encoded]]:
         """Texts in runs of a bounded size: (position of a run's first text, its ids). Nulls are empty."""
-        for at, own in together(texts):
+        for at, own in together(texts, limit or TOGETHER):
             yield at, self.run(own)
             pa.default_memory_pool().release_unused()
 

@@ -21,6 +21,8 @@ AT_DOCUMENT, AT_SENTENCE, ELSEWHERE = 0, 2, 24
 STRIDE = 64
 #: Ids after which settled sequences are written, and bytes of text of a task, about.
 HORIZON, TASK_BYTES = 1 << 18, 16 << 20
+#: Bytes of texts that are encoded together: a smaller run than elsewhere, as unsettled ids are held beside it.
+RUN_BYTES = 3 << 20
 
 
 def fill(places: np.ndarray, costs: np.ndarray, stride: int = STRIDE) -> tuple[np.ndarray, np.ndarray]:
@@ -193,7 +195,7 @@ def pack(docs: DataFrame, path: str, size: int = SIZE, end: int = END, id_col: s
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, stream = once(SENTENCES, path), _Stream(size, horizon)
         for batch in batches:
-            for at, found in own.many(batch.column(1)):
+            for at, found in own.many(batch.column(1), RUN_BYTES):
                 stream.add(batch.column(0).slice(at, len(found.begin)).to_pylist(), found, end)
                 if stream.full():
                     yield pa.record_batch(stream.take(False, with_ids), names=names)
