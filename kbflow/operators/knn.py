@@ -33,21 +33,25 @@ def nearest(queries: DataFrame, docs: DataFrame, k: int, block: int = BLOCK) ->
     """(q, d, sim, rank) of the k documents (d, dv) with the largest inner products for each query (q, qv); ties to the smaller d.
 
     A block of queries is a matrix in every task; each task keeps k rows a query while it reads its documents, so that
-    only these are shuffled. Null vectors and ids take no part.
+    only these are shuffled. Null ids, null vectors and vectors with a null or non-finite component take no part; only
+    vectors of one length are compared. Repeated rows count each. Without queries or documents there are no rows.
     """
     spark = queries.sparkSession
-    own = queries.where("q IS NOT NULL AND qv IS NOT NULL").select("q", F.col("qv").cast("array<double>").alias("qv"))
+    fine = lambda v: F.forall(F.col(v).cast("array<double>"), lambda x: F.coalesce((F.abs(x) < float("inf")) & ~F.isnan(x), F.lit(False)))
+    own = queries.where(F.col("q").isNotNull() & fine("qv")).select("q", F.col("qv").cast("array<double>").alias("qv"))
     n = own.count()
     blocks = max(1, -(-n // block))
-    docs = docs.where("d IS NOT NULL AND dv IS NOT NULL").select("d", F.col("dv").cast("array<double>").alias("dv"))
+    docs = docs.where(F.col("d").isNotNull() & fine("dv")).select("d", F.col("dv").cast("array<double>").alias("dv"))
     found = None
     for b in range(blocks):
         held = own.where(F.pmod(F.xxhash64("q"), F.lit(blocks)) == b).collect() if n else []
         if not held:
             continue
-        ids, matrix = np.array([r.q for r in held], np.int64), np.array([r.qv for r in held], np.float64)
-        part = docs.mapInArrow(_best(spark.sparkContext.broadcast((ids, matrix)), k), "q long, d long, sim double")
-        found = part if found is None else found.unionByName(part)
+        for size in sorted({len(r.qv) for r in held}):
+            alike = [r for r in held if len(r.qv) == size]
+            ids, matrix = np.array([r.q for r in alike], np.int64), np.array([r.qv for r in alike], np.float64).reshape(len(alike), size)
+            part = docs.where(F.size("dv") == size).mapInArrow(_best(spark.sparkContext.broadcast((ids, matrix)), k), "q long, d long, sim double")
+            found = part if found is None else found.unionByName(part)
     if found is None:
         return spark.createDataFrame([], "q long, d long, sim double, rank int")
     return top(found, k)
@@ -61,7 +65,7 @@ def _best(sent, k: int):
             if not batch.num_rows:
                 continue
             d = batch.column(0).to_numpy()
-            x = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
+            x = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, matrix.shape[1])
             best_s = np.hstack([best_s, matrix @ x.T])
             best_d = np.hstack([best_d, np.broadcast_to(d, (len(ids), len(d)))])
             order = np.lexsort((best_d, -best_s), axis=1)[:, :k]

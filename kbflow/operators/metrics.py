@@ -48,7 +48,7 @@ def turnover(versions: DataFrame) -> DataFrame:
 def drift(counts: DataFrame, eps: float = 1e-12) -> DataFrame:
     """(day, jsd): Jensen-Shannon divergence (natural logarithm) of each day's shares of topics from the day's before; counts: (day, topic, n)."""
     share = counts.withColumn("p", F.col("n") / F.sum("n").over(Window.partitionBy("day")))
-    full = share.select("day").distinct().crossJoin(F.broadcast(share.select("topic").distinct().limit(10_000)))
+    full = share.select("day").distinct().crossJoin(share.select("topic").distinct())
     own = full.join(share, ["day", "topic"], "left").select("day", "topic", (F.coalesce("p", F.lit(0.0)) + eps).alias("p"))
     own = own.withColumn("q", F.lag("p").over(Window.partitionBy("topic").orderBy("day"))).where("q IS NOT NULL")
     mid = (F.col("p") + F.col("q")) / 2

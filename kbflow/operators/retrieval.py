@@ -38,15 +38,15 @@ def fuse(dense: DataFrame, sparse: DataFrame, weight: float = 0.6) -> DataFrame:
 
 
 def union_first(*lists: DataFrame, key: tuple[str, ...] = ("q", "d")) -> DataFrame:
-    """The rows of all lists, of one key only that of the first list which has it."""
-    out = lists[0].withColumn("list", F.lit(0))
+    """The rows of all lists, of one key only that of the first list which has it; null keys are a key, empty lists add nothing."""
+    out = lists[0].dropDuplicates(list(key)).withColumn("list", F.lit(0))
     for i, own in enumerate(lists[1:], 1):
-        out = out.unionByName(own.withColumn("list", F.lit(i)))
+        out = out.unionByName(own.dropDuplicates(list(key)).withColumn("list", F.lit(i)))
     return out.withColumn("n", F.row_number().over(Window.partitionBy(*key).orderBy("list"))).where("n = 1").drop("n")
 
 
 def entity_hop(first: DataFrame, entities: DataFrame) -> DataFrame:
-    """(q, d, overlap): documents that share entities with a query's first-hop documents (q, d), without these; entities: (d, e)."""
+    """(q, d, overlap): documents that share entities with a query's first-hop documents (q, d), without these; entities: distinct (d, e). Nulls meet nothing."""
     seen = first.join(entities, "d").select("q", "e").distinct()
     second = seen.join(entities, "e").groupBy("q", "d").agg(F.count(F.lit(1)).alias("overlap"))
     return second.join(first.select("q", "d"), ["q", "d"], "left_anti")

@@ -121,8 +121,8 @@ def pol_oracle(spark, sf):
     """The window's gold, filled up with the documents most like its queries."""
     asked = B.queries(spark, sf).where(F.col("window_idx") == NOW)
     gold = B.gold(spark, sf).join(asked.select("q"), "q", "left_semi").select("d").distinct().select("d", F.lit(1).alias("g"), F.lit(0.0).alias("use"))
-    rest = B.pool(spark, sf).join(F.broadcast(gold.select("d").limit(B.BUDGET * 100)), "d", "left_anti")
-    sims = rest.crossJoin(F.broadcast(asked.select("q", "qv").limit(B.WINDOW))).groupBy("d").agg(F.round(F.avg(_sim()), 9).alias("use"))
+    rest = B.pool(spark, sf).join(gold.select("d"), "d", "left_anti")
+    sims = rest.crossJoin(asked.select("q", "qv")).groupBy("d").agg(F.round(F.avg(_sim()), 9).alias("use"))
     return gold.unionByName(sims.select("d", F.lit(0).alias("g"), "use")).orderBy(F.col("g").desc(), F.col("use").desc(), "d").limit(B.BUDGET).select("d")
 
 

@@ -45,11 +45,11 @@ def agg_coverage(spark, sf):
     return metrics.coverage(gold, B.kb(spark, sf).select("d"))
 
 
-@query("""WITH W AS (SELECT DISTINCT l_orderkey // 100 AS w, l_partkey AS d FROM lineitem WHERE l_orderkey < 1500), A AS (SELECT w, count(*) AS n FROM W GROUP BY w), I AS (SELECT a.w, count(*) AS i FROM W a JOIN W b ON a.d = b.d AND b.w = a.w - 1 GROUP BY a.w)
+@query("""WITH W AS (SELECT DISTINCT l_orderkey // 100 AS w, l_partkey AS d FROM lineitem), A AS (SELECT w, count(*) AS n FROM W GROUP BY w), I AS (SELECT a.w, count(*) AS i FROM W a JOIN W b ON a.d = b.d AND b.w = a.w - 1 GROUP BY a.w)
 SELECT A.w AS version, round(1 - coalesce(i, 0) / (A.n + p.n - coalesce(i, 0))::DOUBLE, 6) AS turnover FROM A JOIN A p ON p.w = A.w - 1 LEFT JOIN I ON I.w = A.w""")
 def agg_turnover(spark, sf):
     """Symmetric difference over union of consecutive versions."""
-    own = read(spark, sf, "lineitem").where("l_orderkey < 1500").select(F.expr("l_orderkey div 100").alias("version"), F.col("l_partkey").alias("d")).distinct()
+    own = read(spark, sf, "lineitem").select(F.expr("l_orderkey div 100").alias("version"), F.col("l_partkey").alias("d")).distinct()
     return metrics.turnover(own)
 
 
@@ -96,11 +96,11 @@ def win_blocks(spark, sf):
 
 
 @query(f"""WITH RECURSIVE {_HOURS}, R AS (SELECT i, v, v AS ema, 0.0::DOUBLE AS mad FROM I WHERE i = 0 UNION ALL
-SELECT I.i, I.v, 0.85::DOUBLE * ema + 0.15::DOUBLE * I.v, 0.85::DOUBLE * mad + 0.15::DOUBLE * abs(I.v - (0.85::DOUBLE * ema + 0.15::DOUBLE * I.v)) FROM R JOIN I ON I.i = R.i + 1 WHERE I.i < 200)
+SELECT I.i, I.v, 0.85::DOUBLE * ema + 0.15::DOUBLE * I.v, 0.85::DOUBLE * mad + 0.15::DOUBLE * abs(I.v - (0.85::DOUBLE * ema + 0.15::DOUBLE * I.v)) FROM R JOIN I ON I.i = R.i + 1)
 SELECT i, round(ema, 5) AS ema, round(mad, 5) AS mad FROM R""")
 def win_ema(spark, sf):
     """Running mean and running deviation; the deviation is taken from the mean after its step."""
-    return metrics.running(_hours(spark, sf).where("i < 200"), 0.85)
+    return metrics.running(_hours(spark, sf), 0.85)
 
 
 @query(f"""WITH {B.BASE}, D AS (SELECT d, window_idx, max(sim) AS best FROM S GROUP BY d, window_idx), N AS (SELECT max(window_idx) AS w FROM Q) SELECT d, round(max(best * pow(0.8::DOUBLE, w - window_idx)), 6) AS heat FROM D, N GROUP BY d""")

@@ -35,9 +35,11 @@ def jon_band(spark, sf):
 
 @query(f"WITH {B.BASE} SELECT P.d, round(max(list_inner_product(P.dv, KB.dv)), 6) AS best FROM P, KB WHERE P.d NOT IN (SELECT d FROM KB) GROUP BY P.d HAVING max(list_inner_product(P.dv, KB.dv)) BETWEEN 0.25::DOUBLE AND 0.37::DOUBLE")
 def flt_dedup_band(spark, sf):
+    """Pool documents by the nearest resident: the residents, a budget, go to the pool."""
     own = B.kb(spark, sf)
-    rest = B.pool(spark, sf).join(own.select("d"), "d", "left_anti").select(F.col("d").alias("q"), F.col("dv").alias("qv"))
-    return knn.nearest(rest, own, 1).where("sim BETWEEN 0.25D AND 0.37D").select(F.col("q").alias("d"), F.round("sim", 6).alias("best"))
+    rest = B.pool(spark, sf).join(F.broadcast(own.select("d")), "d", "left_anti").select(F.col("d").alias("q"), F.col("dv").alias("qv"))
+    best = knn.pairs(rest, own, B.BUDGET).groupBy("q").agg(F.max("sim").alias("best"))
+    return best.where("best BETWEEN 0.25D AND 0.37D").select(F.col("q").alias("d"), F.round("best", 6).alias("best"))
 
 
 @query(f"WITH {B.BASE} SELECT q, d, rank::INT AS rank FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY sim DESC, d) AS rank FROM (SELECT q, d, sim FROM A WHERE d NOT IN (SELECT d FROM KB))) WHERE rank <= 5")
@@ -108,10 +110,10 @@ def _entities(spark, sf):
     return p.select("d", F.concat("w", F.col("p_size").cast("string")).alias("e")).distinct()
 
 
-@query(f"""WITH {_ENT}, H AS (SELECT l_orderkey AS q, min(l_partkey) AS d FROM lineitem WHERE l_orderkey % 50 = 0 GROUP BY l_orderkey), V AS (SELECT DISTINCT q, e FROM H JOIN E USING (d)),
+@query(f"""WITH {_ENT}, H AS (SELECT l_orderkey AS q, min(l_partkey) AS d FROM lineitem GROUP BY l_orderkey), V AS (SELECT DISTINCT q, e FROM H JOIN E USING (d)),
 O AS (SELECT q, d, count(*) AS overlap FROM V JOIN E USING (e) GROUP BY q, d) SELECT q, d, overlap FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY overlap DESC, d) AS n FROM O WHERE (q, d) NOT IN (SELECT q, d FROM H)) WHERE n <= 20""")
 def jon_entity_hop(spark, sf):
-    first = read(spark, sf, "lineitem").where("l_orderkey % 50 = 0").groupBy(F.col("l_orderkey").alias("q")).agg(F.min("l_partkey").alias("d"))
+    first = read(spark, sf, "lineitem").groupBy(F.col("l_orderkey").alias("q")).agg(F.min("l_partkey").alias("d"))
     return knn.top(R.entity_hop(first, _entities(spark, sf)), 20, score="overlap").select("q", "d", "overlap")
 
 
@@ -122,10 +124,10 @@ def agg_entity_idf(spark, sf):
     return df.select("e", "df", F.round(F.greatest(F.lit(0.001), F.log((F.col("n") + 1.0) / (F.col("df") + 1)) + 1), 6).alias("idf"))
 
 
-@query("""WITH L AS (SELECT DISTINCT l_orderkey AS o, l_partkey AS p FROM lineitem WHERE l_orderkey % 20 = 0) SELECT a.p AS e1, b.p AS e2, count(*) AS n FROM L a JOIN L b ON a.o = b.o AND a.p < b.p GROUP BY a.p, b.p""")
+@query("""WITH L AS (SELECT DISTINCT l_orderkey AS o, l_partkey AS p FROM lineitem) SELECT a.p AS e1, b.p AS e2, count(*) AS n FROM L a JOIN L b ON a.o = b.o AND a.p < b.p GROUP BY a.p, b.p""")
 def jon_cooccur(spark, sf):
     """Pairs of entities of one passage (an order's parts, seven at most by its key)."""
-    own = read(spark, sf, "lineitem").where("l_orderkey % 20 = 0").select(F.col("l_orderkey").alias("o"), F.col("l_partkey").alias("p")).distinct()
+    own = read(spark, sf, "lineitem").select(F.col("l_orderkey").alias("o"), F.col("l_partkey").alias("p")).distinct()
     return own.select("o", F.col("p").alias("e1")).join(own.select("o", F.col("p").alias("e2")), "o").where("e1 < e2").groupBy("e1", "e2").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -140,7 +142,7 @@ def jon_contains(spark, sf):
     return m.select("a", "e", F.round(F.when(F.col("exact"), 1.0).otherwise(0.5 / F.count(F.lit(1)).over(Window.partitionBy("a"))), 6).alias("weight"))
 
 
-_PPR_ROUNDS = 4
+_PPR_ROUNDS = 20
 _PPR_SQL = "WITH E AS (SELECT DISTINCT c_nationkey AS s, n_regionkey + 100 AS t FROM customer JOIN nation ON c_nationkey = n_nationkey), D AS (SELECT s, t FROM E UNION ALL SELECT t, s FROM E), T AS (SELECT s, t, 1.0::DOUBLE / count(*) OVER (PARTITION BY s) AS p FROM D),\nM0 AS (SELECT r_regionkey AS q, r_regionkey + 100 AS node, 1.0::DOUBLE AS mass FROM region)" + "".join(
     f",\nM{i + 1} AS (SELECT q, node, sum(mass) AS mass FROM (SELECT q, t AS node, 0.5::DOUBLE * mass * p AS mass FROM M{i} JOIN T ON node = s UNION ALL SELECT q, node, 0.5::DOUBLE * mass FROM M0) GROUP BY q, node)" for i in range(_PPR_ROUNDS)
 ) + f"\nSELECT q, node, round(mass, 6) AS mass FROM M{_PPR_ROUNDS}"
@@ -155,9 +157,9 @@ def ret_page_rank(spark, sf):
     return R.page_rank(both, seeds, _PPR_ROUNDS).select("q", "node", F.round("mass", 6).alias("mass"))
 
 
-@query("""WITH L AS (SELECT DISTINCT l_orderkey AS o, l_partkey AS t FROM lineitem WHERE l_orderkey % 40 = 0) SELECT DISTINCT a.o AS item, b.o AS neighbour FROM L a JOIN L b ON a.t = b.t AND a.o <> b.o""")
+@query("""WITH L AS (SELECT DISTINCT l_orderkey AS o, l_partkey AS t FROM lineitem) SELECT DISTINCT a.o AS item, b.o AS neighbour FROM L a JOIN L b ON a.t = b.t AND a.o <> b.o""")
 def jon_item_graph(spark, sf):
-    own = read(spark, sf, "lineitem").where("l_orderkey % 40 = 0").select(F.col("l_orderkey").alias("o"), F.col("l_partkey").alias("t")).distinct()
+    own = read(spark, sf, "lineitem").select(F.col("l_orderkey").alias("o"), F.col("l_partkey").alias("t")).distinct()
     return own.select("t", F.col("o").alias("item")).join(own.select("t", F.col("o").alias("neighbour")), "t").where("item <> neighbour").select("item", "neighbour").distinct()
 
 

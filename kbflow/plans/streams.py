@@ -73,5 +73,5 @@ def stm_head_kb(spark, sf):
     """A first knowledge base of the head topics' documents, filled up by affinity."""
     n = read(spark, sf, "nation").select(F.col("n_nationkey").alias("topic"), F.col("n_regionkey").alias("head"))
     c = read(spark, sf, "customer").select(F.col("c_custkey").alias("d"), F.col("c_nationkey").alias("topic"), F.round("c_acctbal", 2).alias("affinity"))
-    own = c.join(F.broadcast(n.limit(10_000)), "topic").select("d", (F.col("head") == 0).alias("seeded"), "affinity")
+    own = c.join(n, "topic").select("d", (F.col("head") == 0).alias("seeded"), "affinity")
     return own.orderBy(F.col("seeded").desc(), F.col("affinity").desc(), "d").limit(60).select("d", "seeded")

@@ -18,6 +18,12 @@ def test_nearest_against_numpy(spark):
     assert knn.nearest(qs.limit(0), ds, 3).count() == 0 and knn.nearest(qs, ds.limit(0), 3).count() == 0
 
 
+def test_nearest_of_odd_vectors(spark):
+    qs = spark.createDataFrame([(1, [1.0, 0.0]), (2, [1.0, 0.0, 0.0]), (3, [float("nan"), 1.0]), (4, [None, 1.0])], "q long, qv array<double>")
+    ds = spark.createDataFrame([(1, [0.5, 1.0]), (2, [9.0]), (3, [float("inf"), 1.0]), (4, [None, 2.0]), (5, [1.0, 1.0, 1.0]), (6, [0.5, 0.0])], "d long, dv array<double>")
+    assert sorted((r.q, r.d, r.sim, r["rank"]) for r in knn.nearest(qs, ds, 3).collect()) == [(1, 1, 0.5, 1), (1, 6, 0.5, 2), (2, 5, 1.0, 1)]
+
+
 def test_swaps_are_the_sequential_walk(spark):
     rng = np.random.default_rng(2)
     for _ in range(3):
@@ -36,13 +42,31 @@ def test_folds():
     v = lambda *x: np.array(x, float) / np.linalg.norm(x)
     rows = [(0, v(1, 0), 0.5), (1, v(1, 0.5), 0.5), (2, v(1, 0.01), 0.9), (3, v(1, 0), 0.1), (4, v(0, 1), 0.5)]
     assert [a for _, a, _ in fold.store(rows, 0.8, 0.95)] == ["new_cluster", "added", "replaced", "skipped", "new_cluster"]
-    order, gone = fold.miss_lru([1, 2, 3], [(1, 0.9, 9), (2, 0.1, 7), (3, 0.1, 7), (1, 0.1, 8)], 0.5)
-    assert order == [1, 7, 8] and gone == 2
+    last = dict.fromkeys((1, 2, 3), -1)
+    # 1 is hit by the last query, and all hits count before the first miss
+    assert fold.miss_lru(last, [(2, 0.1, 7), (3, 0.1, 7), (2, 0.1, 8), (1, 0.9, 9)], 0.5, 4) == 2 and last == {1: 4, 7: 4, 8: 4}
+    freq, fetched = {1: 0, 2: 2}, {}
+    assert fold.miss_tiny_lfu(freq, fetched, [(2, 0.9, 5), (1, 0.2, 7), (1, 0.2, 8), (1, 0.2, 7)], 0.5) == 3 and freq == {2: 3, 7: 0} and fetched == {7: 2, 8: 1}
+    held, seen = {1: v(1, 0), 2: v(0, 1)}, {}
+    assert fold.arrivals(held, seen, [(5, v(1, 0.1)), (6, v(-1, -1)), (2, v(0, 1)), (7, v(1, 1))], 3) == 4 and sorted(held) == [6, 7]
+    kb = {1, 2}
+    assert fold.edits(kb, [(1, [(2, 0.7), (9, 0.6)]), (2, [(9, 0.7), (8, 0.5)]), (1, [(3, 0.5)])], 0.4, 0.8) == 2 and kb == {8, 9}
+    own = fold.Ledger([1, 2])
+    assert own.step([(1, 0.9, []), (2, 0.1, [(7, 0.5), (8, 0.5)])], 0.5, {}, set()) == 1 and own.kb == {1, 7}
+    assert abs(own.demand[7] - 1.2) < 1e-12 and abs(own.demand[8] - 0.2) < 1e-12 and abs(own.serve[1] - 1.92) < 1e-12
+    assert own.step([(1, 0.1, [(8, 0.5)])], 0.5, {}, {8}) == 0 and own.kb == {1, 7}
     assert fold.greedy_cover(np.array([[0.9, 0.1, 0.8], [0.0, 0.7, 0.1]]), np.array([0.5, 0.5]), 3) == [0, 1]
     one = np.eye(2)
     assert abs(fold.frechet(np.zeros(2), one, np.array([1.0, 2.0]), 4 * one, 0.0) - (5 + 2)) < 1e-6
     steps = [(False, 0.1)] * 3 + [(False, 0.9), (True, 0.1), (True, 0.1), (True, 0.1), (True, 0.1), (False, 0.1)]
-    assert fold.decide(steps) == ["warmup"] * 3 + ["mild", "aggressive", "cooldown", "cooldown", "recalibrate", "cooldown"]
+    assert fold.decide(steps) == ["warmup"] * 2 + ["warmup_recalibrate", "mild", "cooldown", "cooldown", "recalibrate", "cooldown", "cooldown"]
+    assert fold.decide_simple([(False, 0.1), (False, 0.9), (True, 0.1), (False, 0.1)]) == ["none", "mild", "aggressive", "none"]
+    x = np.array([v(1, 0), v(1, 0.1), v(0, 1), v(0.1, 1), v(-1, 0)])
+    assert fold.farthest(x, 3) == [0, 4, 2] and fold.farthest(x[:0], 2) == []
+    label, _ = fold.means(x, 3)
+    assert [sorted(np.flatnonzero(label == c).tolist()) for c in range(3)] == [[0, 1], [4], [2, 3]]
+    assert fold.silhouette(x, label) > 0.7 and fold.silhouette(x, label * 0) == 0 and fold.best_k(x)[0] == 3
+    assert fold.recurate([1, 2, 3, 4], [3, 4, 8, 9], {8: 0.1, 9: 0.5}, {1: 0.3, 2: 0.2}, 0.25) == ([9], [2])
 
 
 def test_turnover_and_rank(spark):
