@@ -67,3 +67,32 @@ def page_rank(edges: DataFrame, seeds: DataFrame, rounds: int = 20, restart: flo
         if i % 5 == 4 and i + 1 < rounds and now.sparkSession.sparkContext.getCheckpointDir():
             now = now.checkpoint()
     return now
+
+
+def rerank(found: DataFrame, scorer: Column, score: str, weight: float = 0.5, least: float = 0.0) -> DataFrame:
+    """Adds rerank and score, the weighted sum of ``scorer`` and the column ``score``, and drops rows under ``least``.
+
+    ``scorer`` is any expression, a pandas function of a model too; where it gives null, the first score alone counts.
+    """
+    own = found.withColumn("rerank", scorer)
+    both = F.coalesce(weight * F.col("rerank") + (1 - weight) * F.col(score), F.col(score))
+    return own.withColumn("score", both).where(F.col("score") >= least)
+
+
+def reflect(queries: DataFrame, retrieve, grade, refine, rounds: int = 2, least: int = 3) -> DataFrame:
+    """Results (q, d, ..., round) of queries (q, question); those graded under ``least`` are refined and asked again, ``rounds`` times at most.
+
+    retrieve(queries) gives (q, d, ...); grade(results) gives (q, grade); refine(queries) gives (q, question) anew. A
+    question keeps the results of its last round; one without results counts as graded 0.
+    """
+    now, done = queries, None
+    for i in range(rounds):
+        found = retrieve(now)
+        graded = now.select("q").join(grade(found), "q", "left").select("q", F.coalesce("grade", F.lit(0)).alias("grade"))
+        last = i == rounds - 1
+        settled = graded if last else graded.where(F.col("grade") >= least)
+        part = found.join(settled.select("q"), "q", "left_semi").withColumn("round", F.lit(i))
+        done = part if done is None else done.unionByName(part)
+        if not last:
+            now = refine(now.join(graded.where(F.col("grade") < least).select("q"), "q", "left_semi"))
+    return done
