@@ -316,3 +316,33 @@ def recurate(current: list[int], ideal: list[int], gain: dict[int, float], inter
     gone = sorted(set(current) - set(ideal), key=lambda d: (interest.get(d, 0.0), d))
     n = min(most, len(add), len(gone)) if current else min(most, len(add))
     return add[:n], gone[:n]
+
+
+def walk(near: dict[int, list[int]], n: int) -> list[int]:
+    """A walk over n nodes at most: to the first neighbour that was not seen, else to the least node that was not."""
+    if not near:
+        return []
+    rest = sorted(near)
+    at, seen, out = rest[0], set(), []
+    while len(out) < min(n, len(near)):
+        out.append(at)
+        seen.add(at)
+        nxt = next((x for x in sorted(near[at]) if x not in seen and x in near), None)
+        at = nxt if nxt is not None else next((x for x in rest if x not in seen), at)
+    return out
+
+
+def topic_add(rows: list[np.ndarray], like: float, most: int) -> list[int]:
+    """The cluster of each unit vector in order: the nearest centroid at ``like`` or more, else a new one, beyond ``most`` the nearest."""
+    sums: list[np.ndarray] = []
+    out = []
+    for v in rows:
+        sims = [float(s @ v) / max(float(np.linalg.norm(s)), 1e-10) for s in sums]
+        at = int(np.argmax(sims)) if sims else -1
+        if at < 0 or sims[at] < like and len(sums) < most:
+            sums.append(v.copy())
+            at = len(sums) - 1
+        else:
+            sums[at] = sums[at] + v
+        out.append(at)
+    return out

@@ -1,4 +1,5 @@
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from kbflow.functions import text as T
@@ -109,3 +110,104 @@ def test_streams(spark, tmp_path):
     step = lambda batch, kb, version: kb.unionByName(batch.selectExpr("cast(max(value) as long) d"))
     windows.follow(stream, str(tmp_path / "kb"), step, str(tmp_path / "c2")).awaitTermination(120)
     assert {r.d for r in spark.read.parquet(str(tmp_path / "kb/kb-1")).collect()} == {1, 2, 19}
+
+
+def test_models(spark):
+    from kbflow.functions import models
+
+    rows = spark.createDataFrame([(1, "Ada Lovelace met Babbage"), (2, None), (3, "")], "id long, t string")
+    embed = models.embed(lambda texts: [[float(len(t))] for t in texts])
+    assert {r.id: r.v for r in rows.select("id", embed("t").alias("v")).collect()} == {1: [24.0], 2: None, 3: [0.0]}
+    answer = models.generate(lambda prompts: [p.upper() for p in prompts], fallback="none")
+    assert {r.id: r.v for r in rows.select("id", answer("t").alias("v")).collect()} == {1: "ADA LOVELACE MET BABBAGE", 2: "none", 3: ""}
+
+    def broken(prompts):
+        raise OSError
+
+    assert {r.v for r in rows.select(models.generate(broken, fallback="?")("t").alias("v")).collect()} == {"?"}
+    score = models.score(lambda pairs: [float(a == b) for a, b in pairs])
+    assert {r.id: r.v for r in rows.select("id", score("t", "t").alias("v")).collect()} == {1: 1.0, 2: None, 3: 1.0}
+    assert rows.select(models.capitalised(rows.t)).first()[0] == ["Ada Lovelace", "Babbage"]
+
+
+def test_separator_chunks(spark):
+    from kbflow.functions import chunking
+
+    text = "One two three.\n\n" + "word " * 60 + "\nLast line. " + "x" * 90
+    own = chunking.split(text, 50, 10)
+    assert all(0 < len(c) <= 50 for c in own) and own[0] == "One two three.\n\n" + "word " * 6
+    assert "".join(chunking.pieces(text, 50)) == text and chunking.split("", 50) == chunking.split(None, 50) == []
+    assert "".join(chunking.split(text, 50, 0)) == text
+    assert all(b.startswith(a[-5:]) for a, b in zip(own[1:5], own[2:6], strict=True))
+    frame = spark.createDataFrame([(text,), (None,)], "t string")
+    assert [r[0] for r in frame.select(chunking.chunks(frame.t, 50, 10)).collect()] == [own, []]
+
+
+def test_reports(spark, tmp_path):
+    import json
+
+    from kbflow.sources import sinks
+
+    rows = spark.createDataFrame([("a", 2, 0.5), ("a", 1, 0.25), ("b", 1, None)], "data string, policy int, recall double")
+    got = {r.data: json.loads(r.json) for r in sinks.nested(rows, "data", "policy").collect()}
+    assert got == {"a": {"1": {"recall": 0.25}, "2": {"recall": 0.5}}, "b": {"1": {}}}
+    assert sinks.markdown(rows.orderBy("data", "policy")).split("\n")[:3] == ["| data | policy | recall |", "| --- | --- | --- |", "| a | 1 | 0.2500 |"]
+    docs = spark.createDataFrame([(1, "x"), (2, "yz")], "id long, t string")
+    meta = sinks.save(docs, str(tmp_path / "i"), "id", "t").first()
+    assert (meta.n, meta.ids, meta.characters) == (2, 2, 3) and sinks.save(docs.orderBy("t"), str(tmp_path / "j"), "id", "t").first().content == meta.content
+    assert sinks.consistent(spark.read.parquet(str(tmp_path / "i/index")), docs, "id") and not sinks.consistent(docs.limit(1), docs, "id")
+
+
+def test_rerank_and_reflection(spark):
+    found = spark.createDataFrame([(1, 10, 0.9), (1, 11, 0.2), (2, 12, 0.4)], "q long, d long, sim double")
+    own = retrieval.rerank(found, F.when(F.col("d") != 12, 1.0 - F.col("sim")), "sim", least=0.45)
+    assert {(r.q, r.d, round(r.score, 6)) for r in own.collect()} == {(1, 10, 0.5), (1, 11, 0.5)}
+    asked = spark.createDataFrame([(1, "good"), (2, "bad")], "q long, question string")
+    retrieve = lambda qs: qs.select("q", F.length("question").cast("long").alias("d"))
+    grade = lambda rows: rows.select("q", F.when(F.col("d") > 3, 5).otherwise(1).alias("grade"))
+    refine = lambda qs: qs.withColumn("question", F.concat("question", F.lit(" again")))
+    assert {(r.q, r.d, r["round"]) for r in retrieval.reflect(asked, retrieve, grade, refine).collect()} == {(1, 4, 0), (2, 9, 1)}
+
+
+def test_walk_and_topics():
+    assert fold.walk({1: [2, 3], 2: [1], 3: [1], 4: []}, 9) == [1, 2, 3, 4] and fold.walk({}, 3) == []
+    v = lambda *x: np.array(x, float) / np.linalg.norm(x)
+    assert fold.topic_add([v(1, 0), v(0, 1), v(1, 0.2), v(-1, 0)], 0.5, 2) == [0, 1, 0, 1]
+
+
+def test_policies_of_the_loop(spark):
+    from kbflow.operators import loop
+
+    rng = np.random.default_rng(5)
+    unit = lambda n: (x := rng.normal(size=(n, 6))) / np.linalg.norm(x, axis=1, keepdims=True)
+    docs, asked = unit(60), unit(20)
+    pool = spark.createDataFrame([(i, v.tolist(), i % 4) for i, v in enumerate(docs)], "d long, dv array<double>, label int")
+    queries = spark.createDataFrame([(i, v.tolist(), i // 5) for i, v in enumerate(asked)], "q long, qv array<double>, window_idx long")
+    gold = spark.createDataFrame([(i, int(np.argmax(docs @ v))) for i, v in enumerate(asked) if i != 3], "q long, d long")
+    kb = pool.where("d < 12")
+    rows = {p: loop.run(p, queries, pool, kb, gold, 0.9, 12) for p in loop.POLICIES}
+    for policy, own in rows.items():
+        assert [r[:3] for r in own] == [(policy, w, 5) for w in range(4)] and all(0 <= r[3] <= 1 and 0 <= r[4] <= 1 for r in own)
+    # the same by hand for one policy: misses take their best document in for the one unused longest
+    last, want = dict.fromkeys(range(12), -1), []
+    for w in range(4):
+        held = sorted(last)
+        top = [np.array(held)[np.lexsort((held, -(docs[held] @ asked[q])))[:5]] for q in range(5 * w, 5 * w + 5)]
+        want.append(round(float(np.mean([int(np.argmax(docs @ asked[q])) in t for q, t in zip(range(5 * w, 5 * w + 5), top) if q != 3])), 6))
+        sims = [float((docs[held] @ asked[q]).max()) for q in range(5 * w, 5 * w + 5)]
+        for q, t, s in zip(range(5 * w, 5 * w + 5), top, sims):
+            if s >= 0.9:
+                last[int(t[0])] = w
+        for q, s in zip(range(5 * w, 5 * w + 5), sims):
+            if s < 0.9:
+                d = int(np.argmax(docs @ asked[q]))
+                if d not in last:
+                    del last[min(last, key=lambda x: (last[x], x))]
+                last[d] = w
+    assert [r[3] for r in rows["miss_lru"]] == want
+    assert all(r[6] == 0 for r in rows["static"]) and sum(r[6] for r in rows["demand"]) > 0
+    assert all(a[4] >= b[4] for a, b in zip(rows["fetch_on_demand"], rows["static"]))
+    assert loop.run("miss_lru", queries, pool, kb, gold, 0.9, 12, frozen=4) == [("miss_lru", *r[1:]) for r in rows["static"]]
+    assert loop.run("static", queries.limit(0), pool, kb, gold, 0.9, 12) == []
+    with pytest.raises(ValueError, match="unknown policy"):
+        loop.run("no such", queries, pool, kb, gold, 0.9, 12)
