@@ -29,8 +29,8 @@ def top(found: DataFrame, k: int, by: str = "q", score: str = "sim", tie: str =
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
-def nearest(queries: DataFrame, docs: DataFrame, k: int, block: int = BLOCK) -> DataFrame:
-    """(q, d, sim, rank) of the k documents (d, dv) with the largest inner products for each query (q, qv); ties to the smaller d.
+def nearest(queries: DataFrame, docs: DataFrame, k: int, block: int = BLOCK, digits: int | None = None) -> DataFrame:
+    """(q, d, sim, rank) of the k documents (d, dv) with the largest inner products for each query (q, qv); ties, of ``digits`` digits if given, to the smaller d.
 
     A block of queries is a matrix in every task; each task keeps k rows a query while it reads its documents, so that
     only these are shuffled. Null ids, null vectors and vectors with a null or non-finite component take no part; only
@@ -50,14 +50,14 @@ def nearest(queries: DataFrame, docs: DataFrame, k: int, block: int = BLOCK) ->
         for size in sorted({len(r.qv) for r in held}):
             alike = [r for r in held if len(r.qv) == size]
             ids, matrix = np.array([r.q for r in alike], np.int64), np.array([r.qv for r in alike], np.float64).reshape(len(alike), size)
-            part = docs.where(F.size("dv") == size).mapInArrow(_best(spark.sparkContext.broadcast((ids, matrix)), k), "q long, d long, sim double")
+            part = docs.where(F.size("dv") == size).mapInArrow(_best(spark.sparkContext.broadcast((ids, matrix)), k, digits), "q long, d long, sim double")
             found = part if found is None else found.unionByName(part)
     if found is None:
         return spark.createDataFrame([], "q long, d long, sim double, rank int")
     return top(found, k)
 
 
-def _best(sent, k: int):
+def _best(sent, k: int, digits: int | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, matrix = sent.value
         best_d, best_s = np.zeros((len(ids), 0), np.int64), np.zeros((len(ids), 0))
@@ -66,7 +66,8 @@ def _best(sent, k: int):
                 continue
             d = batch.column(0).to_numpy()
             x = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, matrix.shape[1])
-            best_s = np.hstack([best_s, matrix @ x.T])
+            sims = matrix @ x.T
+            best_s = np.hstack([best_s, sims if digits is None else np.round(sims, digits)])
             best_d = np.hstack([best_d, np.broadcast_to(d, (len(ids), len(d)))])
             order = np.lexsort((best_d, -best_s), axis=1)[:, :k]
             best_s, best_d = np.take_along_axis(best_s, order, 1), np.take_along_axis(best_d, order, 1)

@@ -2,10 +2,82 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from kbflow.operators import knn
+
 K1, B = 1.5, 0.75
+#: Queries that are sent to all tasks at a time, and documents that are scored together.
+BLOCK, TOGETHER = 1024, 256
+
+
+def bm25_top(queries: DataFrame, docs: DataFrame, k: int, k1: float = K1, b: float = B, digits: int = 6, block: int = BLOCK) -> DataFrame:
+    """(q, d, score, rank): the k best documents (d, words) of each query (q, words) by BM25, ties at ``digits`` digits to the smaller d.
+
+    idf is ln(1 + (N - df + 0.5) / (df + 0.5)). A block of queries and the counts of its words go to all tasks; each
+    task scores its documents and keeps k a query, so that a frequent word makes no row for each query and document.
+    Null ids and null words take no part, rows that repeat a document count each; documents that share no word with a
+    query are not found. Without queries or documents there are no rows.
+    """
+    spark = queries.sparkSession
+    own = queries.where("q IS NOT NULL AND words IS NOT NULL").select("q", F.array_distinct("words").alias("words"))
+    docs = docs.where("d IS NOT NULL AND words IS NOT NULL").select("d", "words")
+    n, mean = docs.agg(F.count(F.lit(1)), F.avg(F.size("words"))).first()
+    asked, out = own.count(), None
+    blocks = -(-asked // block) if n else 0
+    for i in range(blocks):
+        held = own.where(F.pmod(F.xxhash64("q"), F.lit(blocks)) == i).collect()
+        words = sorted({w for r in held for w in r.words if w is not None})
+        if not words:
+            continue
+        wanted = spark.createDataFrame([(w,) for w in words], "w string")  # the words of a block of queries
+        df = docs.select(F.explode(F.array_distinct("words")).alias("w")).join(F.broadcast(wanted), "w", "left_semi").groupBy("w").agg(F.count(F.lit(1)).alias("df")).collect()
+        idf = {r.w: float(np.log(1 + (n - r.df + 0.5) / (r.df + 0.5))) for r in df}
+        known = sorted(idf)
+        at = {w: j for j, w in enumerate(known)}
+        pairs = sorted((at[w], j) for j, r in enumerate(held) for w in r.words if w in at)
+        postings = (known, np.array([q for _, q in pairs], np.int64), np.bincount([w for w, _ in pairs], minlength=len(known)), np.array([idf[w] for w in known]))
+        sent = spark.sparkContext.broadcast((np.array([r.q for r in held], np.int64), *postings))
+        part = docs.mapInArrow(_score(sent, k, k1, b, float(mean or 1), digits), "q long, d long, score double")
+        out = part if out is None else out.unionByName(part)
+    if out is None:
+        return spark.createDataFrame([], "q long, d long, score double, rank int")
+    return knn.top(out, k, score="score")
+
+
+def _score(sent, k: int, k1: float, b: float, mean: float, digits: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, words, asked, n_asked, idf = sent.value
+        vocabulary = pa.array(words, pa.string())
+        first = np.cumsum(n_asked) - n_asked
+        best_d, best_s = np.zeros((len(ids), 0), np.int64), np.zeros((len(ids), 0))
+        for batch in batches:
+            for at in range(0, batch.num_rows, TOGETHER):
+                d, lists = batch.column(0).slice(at, TOGETHER).to_numpy(), batch.column(1).slice(at, TOGETHER)
+                sizes = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
+                word = pc.fill_null(pc.index_in(lists.flatten(), value_set=vocabulary), -1).to_numpy(zero_copy_only=False).astype(np.int64)
+                met = word >= 0
+                pair, tf = np.unique(np.repeat(np.arange(len(d)), sizes)[met] * len(words) + word[met], return_counts=True)
+                doc, word = pair // max(1, len(words)), pair % max(1, len(words))
+                part = idf[word] * tf * (k1 + 1) / (tf + k1 * (1 - b + b * sizes[doc] / mean))
+                n = n_asked[word]
+                ends = np.cumsum(n)
+                place = np.arange(ends[-1] if len(ends) else 0) + np.repeat(first[word] - (ends - n), n)
+                score = np.bincount(asked[place] * len(d) + np.repeat(doc, n), weights=np.repeat(part, n), minlength=len(ids) * len(d)).reshape(len(ids), len(d))
+                best_s = np.hstack([best_s, np.round(score, digits)])
+                best_d = np.hstack([best_d, np.broadcast_to(d, score.shape)])
+                order = np.lexsort((best_d, -best_s), axis=1)[:, :k]
+                best_s, best_d = np.take_along_axis(best_s, order, 1), np.take_along_axis(best_d, order, 1)
+        found = best_s > 0
+        yield pa.record_batch([pa.array(np.repeat(ids, found.sum(axis=1))), pa.array(best_d[found]), pa.array(best_s[found])], names=["q", "d", "score"])
+
+    return run
 
 
 def bm25(queries: DataFrame, docs: DataFrame, k1: float = K1, b: float = B) -> DataFrame:
@@ -23,6 +95,31 @@ def bm25(queries: DataFrame, docs: DataFrame, k1: float = K1, b: float = B) -> D
     return asked.join(tf.join(idf, "w"), "w").groupBy("q", "d").agg(F.sum(part).alias("score"))
 
 
+def hashed_top(queries: DataFrame, docs: DataFrame, k: int) -> DataFrame:
+    """(q, d, sim, rank) of the k documents (d, words) nearest to each query (q, words) by hashed counts; similarities are compared to six digits."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import hashlib
+
+        known: dict[str, int] = {}
+        for batch in batches:
+            out = []
+            for words in batch.column(1).to_pylist():
+                v = np.zeros(32)
+                for w in words:
+                    if (i := known.get(w)) is None:
+                        i = int(hashlib.md5(w.encode()).hexdigest()[:2], 16) % 32
+                        if len(known) < 1_000_000:
+                            known[w] = i
+                    v[i] += 1
+                out.append((v / max(float(np.sqrt(v @ v)), 1e-10)).tolist())
+            yield pa.record_batch([batch.column(0), pa.array(out, pa.list_(pa.float64()))], names=["id", "v"])
+
+    vectors = lambda df, c: df.where("words IS NOT NULL").select(c, "words").mapInArrow(run, "id long, v array<double>")
+    asked = vectors(queries, "q").select(F.col("id").alias("q"), F.col("v").alias("qv"))
+    return knn.nearest(asked, vectors(docs, "d").select(F.col("id").alias("d"), F.col("v").alias("dv")), k, digits=6)
+
+
 def min_max(score: Column, by: str = "q") -> Column:
     """Scores of a query between 0 and 1; 0.5 where all are equal."""
     own = Window.partitionBy(by)

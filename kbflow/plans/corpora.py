@@ -202,12 +202,12 @@ def mth_smooth(spark, sf):
     return own.join(v.select(F.col("i").alias("at")), "at", "left_semi").select(F.col("at").alias("i"), F.round("s", 6).alias("smooth"))
 
 
-@query("""WITH E AS (SELECT user_id, avg(value) * CASE WHEN event_type = 'purchase' THEN 5 ELSE 1 END AS ms, count(*) AS n FROM events GROUP BY user_id, event_type) SELECT user_id, round(sum(ms * n) / sum(n), 6) AS latency FROM E GROUP BY user_id""")
+@query("""WITH E AS (SELECT user_id, avg(value) * CASE WHEN event_type = 'purchase' THEN 5 ELSE 1 END AS ms, count(*) AS n FROM events GROUP BY user_id, event_type) SELECT user_id, round(sum(ms * n) / sum(n), 3) AS latency FROM E GROUP BY user_id""")
 def mth_latency(spark, sf):
     """Latency a query: cold searches cost five times a warm one."""
     e = read(spark, sf, "events").groupBy("user_id", "event_type").agg(F.avg("value").alias("v"), F.count(F.lit(1)).alias("n"))
     ms = F.col("v") * F.when(F.col("event_type") == "purchase", 5).otherwise(1)
-    return e.groupBy("user_id").agg(F.round(F.sum(ms * F.col("n")) / F.sum("n"), 6).alias("latency"))
+    return e.groupBy("user_id").agg(F.round(F.sum(ms * F.col("n")) / F.sum("n"), 3).alias("latency"))
 
 
 @query("""WITH W AS (SELECT date_trunc('week', ts)::DATE AS week, event_type AS topic, count(*) AS n FROM events GROUP BY 1, 2), M AS (SELECT date_trunc('month', week)::DATE AS month, topic, avg(n) AS n FROM W GROUP BY 1, 2) SELECT month, topic, round(n / sum(n) OVER (PARTITION BY month), 6) AS share FROM M""")

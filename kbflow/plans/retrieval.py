@@ -66,24 +66,31 @@ df AS (SELECT w, count(*) AS df FROM tf GROUP BY w),
 bm AS (SELECT q, d, sum(ln(1 + (n - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)) * tf * 2.5::DOUBLE / (tf + 1.5::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * len / mean))) AS score FROM qs JOIN tf USING (w) JOIN df USING (w), st GROUP BY q, d)"""
 
 
-def _bm25(spark, sf):
+def _bm25_sides(spark, sf):
     q = read(spark, sf, "benchmark").select(F.col("item_id").alias("q"), T.tokens(F.col("text")).alias("words"))
-    return R.bm25(q, read(spark, sf, "documents").select(F.col("doc_id").alias("d"), T.tokens(F.col("text")).alias("words")))
+    return q, read(spark, sf, "documents").select(F.col("doc_id").alias("d"), T.tokens(F.col("text")).alias("words"))
 
 
 @query(f"WITH {_BM25_SQL}, r AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY round(score, 6) DESC, d) AS rank FROM bm) SELECT q, d, rank::INT AS rank, round(score, 6) AS score FROM r WHERE rank <= 10")
 def ret_bm25(spark, sf):
-    return knn.top(_bm25(spark, sf).withColumn("score", F.round("score", 6)), 10, score="score").select("q", "d", "rank", "score")
+    return R.bm25_top(*_bm25_sides(spark, sf), 10).select("q", "d", "rank", "score")
 
 
-@query(f"""WITH {_BM25_SQL}, nm AS (SELECT q, d, score, CASE WHEN max(score) OVER o = min(score) OVER o THEN 0.5 ELSE (score - min(score) OVER o) / (max(score) OVER o - min(score) OVER o + 1e-6) END AS s FROM bm WINDOW o AS (PARTITION BY q)),
-sp AS (SELECT q, d, s FROM nm WHERE s >= 0.8::DOUBLE), de AS (SELECT item_id AS q, doc_id AS d, 1.0::DOUBLE / (1 + abs(item_id - doc_id)) AS sim FROM benchmark, documents WHERE abs(item_id - doc_id) < 5),
-fu AS (SELECT coalesce(de.q, sp.q) AS q, coalesce(de.d, sp.d) AS d, round(0.6::DOUBLE * coalesce(sim, 0) + 0.4::DOUBLE * coalesce(s, 0), 6) AS score FROM de FULL JOIN sp ON de.q = sp.q AND de.d = sp.d),
+_HASHED = """, hq AS (SELECT item_id AS id, unnest(list_filter(string_split_regex(lower(text), '\\s+'), lambda w: w <> '')) AS w FROM benchmark), hd AS (SELECT doc_id AS id, unnest(list_filter(string_split_regex(lower(text), '\\s+'), lambda w: w <> '')) AS w FROM documents),
+vq AS (SELECT id, ('0x' || substr(md5(w), 1, 2))::INT % 32 AS i, count(*)::DOUBLE AS x FROM hq GROUP BY ALL), vd AS (SELECT id, ('0x' || substr(md5(w), 1, 2))::INT % 32 AS i, count(*)::DOUBLE AS x FROM hd GROUP BY ALL),
+uq AS (SELECT id, i, x / sqrt(sum(x * x) OVER (PARTITION BY id)) AS x FROM vq), ud AS (SELECT id, i, x / sqrt(sum(x * x) OVER (PARTITION BY id)) AS x FROM vd), dn AS (SELECT uq.id AS q, ud.id AS d, round(sum(uq.x * ud.x), 6) AS sim FROM uq JOIN ud USING (i) GROUP BY 1, 2),
+de AS (SELECT q, d, sim FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY sim DESC, d) AS n FROM dn) WHERE n <= 10 AND sim >= 0.6::DOUBLE)"""
+
+
+@query(f"""WITH {_BM25_SQL}{_HASHED}, tk AS (SELECT q, d, score FROM (SELECT q, d, round(score, 6) AS score, row_number() OVER (PARTITION BY q ORDER BY round(score, 6) DESC, d) AS n FROM bm) WHERE n <= 10),
+sp AS (SELECT q, d, CASE WHEN max(score) OVER o = min(score) OVER o THEN 0.5 ELSE (score - min(score) OVER o) / (max(score) OVER o - min(score) OVER o + 1e-6) END AS s FROM tk WINDOW o AS (PARTITION BY q)),
+fu AS (SELECT coalesce(de.q, sp.q) AS q, coalesce(de.d, sp.d) AS d, round(0.6::DOUBLE * coalesce(sim, 0) + 0.4::DOUBLE * coalesce(s, 0), 6) AS score FROM de FULL JOIN (SELECT * FROM sp WHERE s >= 0.8::DOUBLE) sp ON de.q = sp.q AND de.d = sp.d),
 r AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY score DESC, d) AS rank FROM fu) SELECT q, d, rank::INT AS rank, score FROM r WHERE rank <= 5""")
 def ret_hybrid(spark, sf):
-    sparse = _bm25(spark, sf).withColumn("score", R.min_max(F.col("score"))).where("score >= 0.8D")
-    ids = read(spark, sf, "benchmark").select(F.col("item_id").alias("q"), F.explode(F.sequence(F.col("item_id") - 4, F.col("item_id") + 4)).alias("d"))
-    dense = ids.join(read(spark, sf, "documents").select(F.col("doc_id").alias("d")), "d").withColumn("sim", 1.0 / (1 + F.abs(F.col("q") - F.col("d"))))
+    """Dense and sparse lists of ten, fused by weight; the dense vectors are hashed counts of words, as an embedding is passed in elsewhere."""
+    asked, docs = _bm25_sides(spark, sf)
+    sparse = R.bm25_top(asked, docs, 10).withColumn("score", R.min_max(F.col("score"))).where("score >= 0.8D")
+    dense = R.hashed_top(asked, docs, 10).withColumn("sim", F.round("sim", 6)).where("sim >= 0.6D")
     fused = R.fuse(dense, sparse).withColumn("score", F.round("score", 6))
     return knn.top(fused, 5, score="score").select("q", "d", "rank", "score")
 
