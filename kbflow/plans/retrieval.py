@@ -9,7 +9,7 @@ from kbflow.functions import text as T
 from kbflow.operators import knn
 from kbflow.operators import retrieval as R
 from kbflow.plans import vectors as B
-from kbflow.plans.register import query, read
+from kbflow.plans.register import query, read, spread
 
 
 @query(f"WITH {B.BASE} SELECT q, d, rank::INT AS rank, round(sim, 6) AS sim FROM R WHERE rank <= 10")
@@ -68,7 +68,8 @@ bm AS (SELECT q, d, sum(ln(1 + (n - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)) * tf
 
 def _bm25_sides(spark, sf):
     q = read(spark, sf, "benchmark").select(F.col("item_id").alias("q"), T.tokens(F.col("text")).alias("words"))
-    return q, read(spark, sf, "documents").select(F.col("doc_id").alias("d"), T.tokens(F.col("text")).alias("words"))
+    docs = spread(read(spark, sf, "documents").select("doc_id", "text"))
+    return q, docs.select(F.col("doc_id").alias("d"), T.tokens(F.col("text")).alias("words"))
 
 
 @query(f"WITH {_BM25_SQL}, r AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY round(score, 6) DESC, d) AS rank FROM bm) SELECT q, d, rank::INT AS rank, round(score, 6) AS score FROM r WHERE rank <= 10")
@@ -120,8 +121,11 @@ def _entities(spark, sf):
 @query(f"""WITH {_ENT}, H AS (SELECT l_orderkey AS q, min(l_partkey) AS d FROM lineitem GROUP BY l_orderkey), V AS (SELECT DISTINCT q, e FROM H JOIN E USING (d)),
 O AS (SELECT q, d, count(*) AS overlap FROM V JOIN E USING (e) GROUP BY q, d) SELECT q, d, overlap FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY overlap DESC, d) AS n FROM O WHERE (q, d) NOT IN (SELECT q, d FROM H)) WHERE n <= 20""")
 def jon_entity_hop(spark, sf):
+    """Documents that share entities with an order's first document: found once for each document, however many orders have it first."""
     first = read(spark, sf, "lineitem").groupBy(F.col("l_orderkey").alias("q")).agg(F.min("l_partkey").alias("d"))
-    return knn.top(R.entity_hop(first, _entities(spark, sf)), 20, score="overlap").select("q", "d", "overlap")
+    own = first.select(F.col("d").alias("q"), "d").distinct()
+    near = knn.top(R.entity_hop(own, _entities(spark, sf)), 20, score="overlap")
+    return first.select("q", F.col("d").alias("first")).join(near.select(F.col("q").alias("first"), "d", "overlap"), "first").select("q", "d", "overlap")
 
 
 @query(f"WITH {_ENT}, N AS (SELECT count(DISTINCT d) AS n FROM E) SELECT e, count(*) AS df, round(greatest(0.001::DOUBLE, ln((n + 1.0::DOUBLE) / (count(*) + 1)) + 1), 6) AS idf FROM E, N GROUP BY e, n")
