@@ -214,3 +214,34 @@ def test_clashing_columns(spark):
     frame = spark.createDataFrame([(1, "one two three four five", 9, 9, 9, 9)], "doc_id long, text string, n_lines int, n_removed int, id int, line int")
     row = L.drop_lines(frame).first()
     assert (row.n_lines, row.n_removed, row.id, row.line) == (1, 0, 9, 9)
+
+
+def test_larger_blocks_are_compared_whole(spark):
+    """Lines with a long run in common lie in blocks of far more lines than one meets first; two of them are like."""
+    rng = random.Random(17)
+    word = lambda: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(7))
+    common = [word() for _ in range(24)]
+    rows = [(i, rng.getrandbits(60), [1, 2]) for i in range(200)]
+    rows += [(1000 + i, fp ^ sum(1 << b for b in rng.sample(range(60), 6)), [2, 3]) for i, fp, _ in rows]
+    want = {(a, b) for (a, x, k), (b, y, m) in combinations(rows, 2) if set(k) & set(m) and (x ^ y).bit_count() <= 12}
+    got = L.candidates(spark.createDataFrame(rows, "id long, fp long, keys array<long>")).collect()
+    assert {tuple(r) for r in got} == want and len(got) == len(want) >= 200
+    # of three tiles, and with groups: pairs of one group are left out
+    met = L.Table(L.blocks(spark.createDataFrame([(*r, 9) for r in rows], "id long, fp long, keys array<long>, n int")), "blocks").df
+    groups = spark.createDataFrame([(i, i % 3) for i in range(200)], "id long, group long")
+    of = lambda i: i % 3 if i < 200 else i
+    rest = {tuple(r) for r in L.rest(met, groups, tile=150).collect()}
+    assert rest == {(a, b) for a, b in want if of(a) != of(b)}
+    # whole lines: pairs of lines with own words around the common run
+    pairs = []
+    for _ in range(60):
+        own = [*(word() for _ in range(12)), *common, *(word() for _ in range(12))]
+        other = list(own)
+        for k in (2, 40, 45):
+            other[k] = word()
+        pairs.append((" ".join(own), " ".join(other)))
+    lines = [x for p in pairs for x in p]
+    rng.shuffle(lines)
+    docs = list(enumerate(lines))
+    got = {(r.doc_id, r.text) for r in L.drop_lines(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert got == slow(docs) and sum(t == "" for _, t in got) == 60
