@@ -22,8 +22,10 @@ NEAR = {"n": 5, "width": 4, "radius": 46, "ratio": 0.8}
 TILE = 32_768
 #: Rows of a block inside a tile pair; its columns are what sizes and population counts leave.
 BLOCK = 256
-#: Most differing bits of the first words of wide fingerprints that are compared in full.
-FIRST = 22
+#: Most differing bits of the first words of wide near copies: as many as of whole ones, so none is left out by them.
+FIRST = NEAR["radius"]
+#: Words of wide fingerprints that are compared for all pairs; those within the radius there are compared in full.
+LEADING = 2
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _GOLDEN, _MIX = 0x9E3779B97F4A7C15, (np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
 
@@ -124,8 +126,8 @@ def tile_links(a: Side, b: Side | None, radius: int, ratio: float = 0.0) -> tupl
     """A spanning forest of the links between the tiles ``a`` and ``b`` (b None: within a), as positions in a followed by b.
 
     Fingerprints link if they differ in at most ``radius`` bits and the smaller size is at least ``ratio`` of the larger.
-    Blocks are compared by exclusive-or and bit count of the first words, and pairs that these leave in full; a pair of
-    blocks is skipped if the population counts of its quarters, and so of whole fingerprints, differ by more than the
+    Blocks are compared by exclusive-or and bit count of the LEADING first words, and pairs within the radius there in
+    full; a pair of blocks is skipped if the population counts of its quarters, and so of whole fingerprints, differ by more than the
     radius, or no sizes fit. Links of a large group are thinned to a forest as they arise, so that at most one link a
     fingerprint remains.
     """
@@ -134,8 +136,8 @@ def tile_links(a: Side, b: Side | None, radius: int, ratio: float = 0.0) -> tupl
     width = a.fps.shape[1]
     shift = 0 if own else len(a.fps)
     n = len(a.fps) + (0 if own else len(b.fps))
-    first, first_b = a.fps[:, 0], np.ascontiguousarray(b.fps[:, 0])
-    most = radius if width == 1 else min(radius, FIRST)
+    first, *more = [(a.fps[:, k], np.ascontiguousarray(b.fps[:, k])) for k in range(min(width, LEADING))]
+    differing = lambda u, v: np.bitwise_count(u[i * BLOCK : (i + 1) * BLOCK, None] ^ v[columns][None, :])
     p, q, held = [], [], 0
 
     def thin() -> None:
@@ -146,17 +148,20 @@ def tile_links(a: Side, b: Side | None, radius: int, ratio: float = 0.0) -> tupl
 
     for i in range(len(a.low)):
         gap = (np.maximum(0, b.low - a.high[i]) + np.maximum(0, a.low[i] - b.high)).sum(axis=1)
-        near = np.flatnonzero((gap <= most) & (b.large >= ratio * a.small[i]) & (a.large[i] >= ratio * b.small))
+        near = np.flatnonzero((gap <= radius) & (b.large >= ratio * a.small[i]) & (a.large[i] >= ratio * b.small))
         near = near[near >= i] if own else near
         for part in np.array_split(near, max(1, len(near) // 64)):
             if not len(part):
                 continue
             columns = (part[:, None] * BLOCK + np.arange(BLOCK)).ravel()
             columns = columns[columns < len(b.fps)]
-            x, y = np.nonzero(np.bitwise_count(first[i * BLOCK : (i + 1) * BLOCK, None] ^ first_b[columns][None, :]) <= most)
+            bits = differing(*first)
+            for words in more:
+                bits += differing(*words)
+            x, y = np.nonzero(bits <= radius)
             x, y = x + i * BLOCK, columns[y]
             keep = x != y + shift
-            if width > 1:
+            if width > LEADING:
                 keep &= np.bitwise_count(a.fps[x] ^ b.fps[y]).sum(axis=1, dtype=np.int64) <= radius
             if ratio:
                 keep &= np.minimum(a.sizes[x], b.sizes[y]) >= ratio * np.maximum(a.sizes[x], b.sizes[y])

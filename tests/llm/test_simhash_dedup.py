@@ -129,3 +129,19 @@ def test_a_null_id_keeps_its_links(spark):
     fps = {1: 0b0, None: 0b11, 9: 0b1111}  # only the row without an id joins the others
     reps = spark.createDataFrame([(bytearray(f.to_bytes(8, "little")), f, f.bit_count(), 1) for f in fps.values()], "fp binary, node long, pc long, n long")
     assert {r.component for r in S.components(S.links(reps), "a", "b").collect()} == {0}
+
+
+def test_wide_links_whatever_word_differs():
+    """Near copies whose differing bits all lie in one word are found, be it the first."""
+    rng = np.random.default_rng(19)
+    base = rng.integers(0, 1 << 63, (300, 4), dtype=np.uint64)
+    other = base.copy()
+    for i in range(300):
+        for b in rng.choice(64, 40 + i % 7, replace=False):
+            other[i, i % 4] ^= np.uint64(1) << np.uint64(b)
+    far = base.copy()
+    far[:, 0] ^= np.uint64((1 << 47) - 1)
+    side = lambda fps: S.Side(fps, np.ones(len(fps), np.int64), True)
+    p, q = S.tile_links(side(base), side(other), 46, 0.8)
+    assert {(int(x), int(y) - 300) for x, y in zip(np.minimum(p, q), np.maximum(p, q), strict=True)} == {(i, i) for i in range(300)}
+    assert not len(S.tile_links(side(base), side(far), 46, 0.8)[0])
