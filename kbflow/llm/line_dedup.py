@@ -69,6 +69,8 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     es = f"IF(words >= {WORDS}, array_distinct(transform({near}, x -> cast(least({MOST}, greatest({FEWEST}, x)) AS int))), NULL)"
     own = own.select("doc_id", "th", "pos", "h", "n", "hashes", F.expr(es).alias("es"))
     own = own.select("doc_id", "th", "pos", "h", "n", "hashes", F.posexplode_outer("es").alias("at", "e")).where("e IS NOT NULL")
+    # arrays that may hold no null are sorted without objects
+    own = own.withColumn("e", F.coalesce("e", F.lit(0)))
     # the least hash of each block, sorted in among the hashes, marks where the block begins
     marks = "transform(sequence(0, shiftleft(1, e) - 1), i -> shiftleft(cast(i AS bigint), 64 - e) ^ shiftleft(1L, 63))"
     own = own.select("doc_id", "th", "pos", "h", "n", "at", "e", "hashes", F.expr(marks).alias("marks"))
