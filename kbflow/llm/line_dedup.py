@@ -23,7 +23,7 @@ OVERLAP = 0.15
 #: Lines of a block that a line is compared with, besides the first: those that follow in the order of their fingerprints.
 NEXT = 8
 #: Lines of a tile of a larger block: a task compares two tiles.
-TILE = 1024
+TILE = 256
 #: Characters of the longest line whose edit similarity counts characters; that of longer ones counts words.
 BY_CHARACTERS = 120
 #: Rows and bytes up to which a table is broadcast to the documents; beyond it the two are joined by a shuffle.
@@ -97,9 +97,11 @@ def blocks(lines: DataFrame, radius: int = RADIUS) -> DataFrame:
     turned = F.expr("shiftleft(fp, cast(key & 63 AS int)) | shiftrightunsigned(fp, cast(64 - (key & 63) AS int))")
     keyed = keyed.select("id", "key", turned.alias("fp"), "n")
     order = Window.partitionBy("key").orderBy("fp", "id")
-    own = F.struct("id", "fp")
     whole = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    met = keyed.select("id", "key", "fp", "n", F.first(own).over(order).alias("first"), F.collect_list(own).over(order.rowsBetween(1, NEXT)).alias("next"), (F.count(F.lit(1)).over(whole) > NEXT + 1).alias("large"))
+    # most blocks have one line, for which nothing is gathered
+    keyed = keyed.select("id", "key", "fp", "n", F.count(F.lit(1)).over(whole).alias("size")).where("size > 1")
+    own = F.struct("id", "fp")
+    met = keyed.select("id", "key", "fp", "n", F.first(own).over(order).alias("first"), F.collect_list(own).over(order.rowsBetween(1, NEXT)).alias("next"), (F.col("size") > NEXT + 1).alias("large"))
     near = F.filter(F.concat(F.array("first"), "next"), lambda x: (x["id"] != F.col("id")) & (F.bit_count(x["fp"].bitwiseXOR(F.col("fp"))) <= radius))
     return met.select("id", "key", "fp", "n", F.transform(near, lambda x: x["id"]).alias("near"), "large").where(F.col("large") | (F.size("near") > 0))
 
@@ -110,14 +112,13 @@ def first(met: DataFrame) -> DataFrame:
     return pairs.select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b")).distinct()
 
 
-def rest(met: DataFrame, groups: DataFrame, radius: int = RADIUS, tile: int = TILE) -> DataFrame:
-    """(a, b), a < b: all pairs in large blocks that differ in at most ``radius`` bits, whose lengths n do not rule out
-    that they are like, and that ``groups`` (id, group) has not in one group yet.
+def meets(met: DataFrame, groups: DataFrame, tile: int = TILE) -> DataFrame:
+    """(x, y): the pairs of lines (id, fp, n, group) of large blocks that rest() compares, each once a block.
 
     A block's lines go to tiles of ``tile`` lines: those of a group that fills a tile next to each other, all others in
-    order of their lengths. Each two tiles meet in a row of their own, so that no task holds a block; tiles of one and
-    the same group, and tiles whose lengths lie apart, do not meet. A line without a group is one of its own. What is
-    left is quadratic in the lines of a block.
+    order of their lengths. Lines of one tile meet once, each two other tiles in a row of their own, so that no task
+    holds a block; tiles of one and the same group, and tiles whose lengths lie apart, do not meet. A line without a
+    group is one of its own. What is left is quadratic in the lines of a block.
     """
     own = met.where("large").select("id", "key", "fp", "n").join(groups, "id", "left").select("id", "key", "fp", "n", F.coalesce("group", "id").alias("group"))
     own = own.withColumn("alone", F.count(F.lit(1)).over(Window.partitionBy("key", "group")) >= tile)
@@ -125,14 +126,21 @@ def rest(met: DataFrame, groups: DataFrame, radius: int = RADIUS, tile: int = TI
     own = own.select("key", F.floor((F.row_number().over(order) - 1) / tile).alias("tile"), F.struct("id", "fp", "n", "group").alias("line"))
     bounds = [f("line." + c).alias(f"{name}_{c}") for c in ("n", "group") for name, f in (("lo", F.min), ("hi", F.max))]
     tiles = Table(own.groupBy("key", "tile").agg(F.collect_list("line").alias("lines"), *bounds), "tiles").df
+    within_tiles = tiles.where("lo_group <> hi_group").select(F.posexplode("lines").alias("at", "x"), "lines").select("x", F.explode(F.expr("slice(lines, at + 2, size(lines))")).alias("y"))
     name = lambda x, *columns: tiles.select("key", *(F.col(c).alias(f"{x}_{c}") for c in ("tile", *columns)))
     sized = ("lo_n", "hi_n", "lo_group", "hi_group")
     # which tiles meet is found without their lines
-    met = name("x", *sized).join(name("y", *sized), "key").where("x_tile <= y_tile AND NOT (x_lo_group = y_hi_group AND x_hi_group = y_lo_group)")
+    met = name("x", *sized).join(name("y", *sized), "key").where("x_tile < y_tile AND NOT (x_lo_group = y_hi_group AND x_hi_group = y_lo_group)")
     met = met.where(f"x_hi_n >= {SIMILARITY} * y_lo_n - 1 AND y_hi_n >= {SIMILARITY} * x_lo_n - 1").select("key", "x_tile", "y_tile")
     both = met.join(name("x", "lines"), ["key", "x_tile"]).join(name("y", "lines"), ["key", "y_tile"])
-    pairs = both.select(F.explode("x_lines").alias("x"), "y_lines").select("x", F.explode("y_lines").alias("y"))
-    pairs = pairs.where(f"x.group <> y.group AND bit_count(x.fp ^ y.fp) <= {radius} AND {_LENGTHS.format('x.n', 'y.n')}")
+    return both.select(F.explode("x_lines").alias("x"), "y_lines").select("x", F.explode("y_lines").alias("y")).unionByName(within_tiles)
+
+
+def rest(met: DataFrame, groups: DataFrame, radius: int = RADIUS, tile: int = TILE) -> DataFrame:
+    """(a, b), a < b: all pairs in large blocks that differ in at most ``radius`` bits, whose lengths n do not rule out
+    that they are like, and that ``groups`` (id, group) has not in one group yet.
+    """
+    pairs = meets(met, groups, tile).where(f"x.group <> y.group AND bit_count(x.fp ^ y.fp) <= {radius} AND {_LENGTHS.format('x.n', 'y.n')}")
     return pairs.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct()
 
 

@@ -245,3 +245,13 @@ def test_larger_blocks_are_compared_whole(spark):
     docs = list(enumerate(lines))
     got = {(r.doc_id, r.text) for r in L.drop_lines(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
     assert got == slow(docs) and sum(t == "" for _, t in got) == 60
+
+
+def test_larger_blocks_meet_once(spark):
+    """Each two lines of a larger block meet in one row, in one tile or in two."""
+    rows = [(i, i, [1], 9) for i in range(40)]
+    met = L.Table(L.blocks(spark.createDataFrame(rows, "id long, fp long, keys array<long>, n int")), "blocks").df
+    none = spark.createDataFrame([], "id long, group long")
+    for tile in (150, 16):
+        got = [tuple(sorted((r.x.id, r.y.id))) for r in L.meets(met, none, tile).collect()]
+        assert sorted(got) == list(combinations(range(40), 2))
