@@ -91,7 +91,8 @@ def blocks(lines: DataFrame, radius: int = RADIUS) -> DataFrame:
 
     Within a block, lines are ordered by their fingerprints, turned by an amount of the block's own. Each meets the
     first and the NEXT that follow: up to NEXT + 1 lines these are all pairs. Larger blocks are ``large``: rest() has
-    their other pairs. ``near``: those met that differ in at most ``radius`` bits.
+    their other pairs. ``near``: those met that differ in at most ``radius`` bits and whose lengths n do not rule out that
+    the two are like, so that no text is looked up for others.
     """
     keyed = lines.select("id", "fp", "n", F.explode("keys").alias("key"))
     turned = F.expr("shiftleft(fp, cast(key & 63 AS int)) | shiftrightunsigned(fp, cast(64 - (key & 63) AS int))")
@@ -100,9 +101,10 @@ def blocks(lines: DataFrame, radius: int = RADIUS) -> DataFrame:
     whole = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     # most blocks have one line, for which nothing is gathered
     keyed = keyed.select("id", "key", "fp", "n", F.count(F.lit(1)).over(whole).alias("size")).where("size > 1")
-    own = F.struct("id", "fp")
+    own = F.struct("id", "fp", "n")
     met = keyed.select("id", "key", "fp", "n", F.first(own).over(order).alias("first"), F.collect_list(own).over(order.rowsBetween(1, NEXT)).alias("next"), (F.col("size") > NEXT + 1).alias("large"))
-    near = F.filter(F.concat(F.array("first"), "next"), lambda x: (x["id"] != F.col("id")) & (F.bit_count(x["fp"].bitwiseXOR(F.col("fp"))) <= radius))
+    sized = lambda x: F.least(x["n"], "n") >= SIMILARITY * F.greatest(x["n"], "n") - 1
+    near = F.filter(F.concat(F.array("first"), "next"), lambda x: (x["id"] != F.col("id")) & (F.bit_count(x["fp"].bitwiseXOR(F.col("fp"))) <= radius) & sized(x))
     return met.select("id", "key", "fp", "n", F.transform(near, lambda x: x["id"]).alias("near"), "large").where(F.col("large") | (F.size("near") > 0))
 
 

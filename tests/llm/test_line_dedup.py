@@ -255,3 +255,10 @@ def test_larger_blocks_meet_once(spark):
     for tile in (150, 16):
         got = [tuple(sorted((r.x.id, r.y.id))) for r in L.meets(met, none, tile).collect()]
         assert sorted(got) == list(combinations(range(40), 2))
+
+
+def test_lengths_rule_out_first_pairs(spark):
+    """Lines whose lengths lie too far apart are no pairs whose texts are looked up; those at the bound stay."""
+    rows = [(1, 7, [1], 100), (2, 7, [1], 79), (3, 7, [1], 78), (4, 7, [2], 50), (5, 7, [2], 10)]
+    met = L.blocks(spark.createDataFrame(rows, "id long, fp long, keys array<long>, n int"))
+    assert {tuple(r) for r in L.first(met).collect()} == {(1, 2), (2, 3)}
