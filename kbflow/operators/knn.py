@@ -29,6 +29,11 @@ def top(found: DataFrame, k: int, by: str = "q", score: str = "sim", tie: str =
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
+def smallest(rows: DataFrame, k: int, by: str, key: str) -> DataFrame:
+    """The rows of the k smallest keys of each group; the limit reaches below the shuffle."""
+    return rows.withColumn("n", F.row_number().over(Window.partitionBy(by).orderBy(key))).where(F.col("n") <= k).drop("n")
+
+
 def nearest(queries: DataFrame, docs: DataFrame, k: int, block: int = BLOCK, digits: int | None = None) -> DataFrame:
     """(q, d, sim, rank) of the k documents (d, dv) with the largest inner products for each query (q, qv); ties, of ``digits`` digits if given, to the smaller d.
 

@@ -15,6 +15,8 @@ from kbflow.operators import knn
 K1, B = 1.5, 0.75
 #: Queries that are sent to all tasks at a time, and documents that are scored together.
 BLOCK, TOGETHER = 1024, 256
+#: Entities of a set whose subsets are listed, 255 at most; sets of more are compared by entity.
+WIDE = 8
 
 
 def bm25_top(queries: DataFrame, docs: DataFrame, k: int, k1: float = K1, b: float = B, digits: int = 6, block: int = BLOCK) -> DataFrame:
@@ -149,6 +151,36 @@ def entity_hop(first: DataFrame, entities: DataFrame) -> DataFrame:
     return second.join(first.select("q", "d"), ["q", "d"], "left_anti")
 
 
+def hop_top(first: DataFrame, entities: DataFrame, k: int, wide: int = WIDE) -> DataFrame:
+    """(q, d, overlap): of entity_hop for queries with one first document (q, d) each, the k of the largest overlap, ties to the smaller d.
+
+    Documents of one set of entities are one class. Every subset of a set keeps the k + 1 smallest documents that have
+    all of it: one that is not among them has as many before it, of no smaller overlap, in every list that meets it by
+    this subset, so none is lost, and no pairs of documents are made. The best of a class are found once, one more for
+    the first document itself. Classes of more than ``wide`` entities have too many subsets; these are paired with
+    the classes that share an entity. Sets are known by 128 bits of hashes of their entities.
+    """
+    most = k + 1
+    hashed = entities.where("d IS NOT NULL AND e IS NOT NULL").select("d", F.struct(F.xxhash64("e").alias("x"), F.xxhash64(F.lit("|"), "e").alias("y")).alias("e"))
+    sets = hashed.groupBy("d").agg(F.struct(F.bit_xor("e.x").alias("x"), F.bit_xor("e.y").alias("y"), F.count(F.lit(1)).alias("n")).alias("c"), F.sort_array(F.collect_list("e")).alias("own"))
+    members = knn.smallest(sets.select("c", "d"), most, "c", "d")
+    classes = sets.groupBy("c").agg(F.min("own").alias("own"))
+    none = F.expr("array(struct(0L AS x, 0L AS y, 0L AS n))")
+    more = lambda acc, e: F.concat(acc, F.transform(acc, lambda s: F.struct(s["x"].bitwiseXOR(e["x"]).alias("x"), s["y"].bitwiseXOR(e["y"]).alias("y"), (s["n"] + 1).alias("n"))))
+    subsets = classes.where(F.col("c.n") <= wide).select("c", F.explode(F.filter(F.aggregate("own", none, more), lambda s: s["n"] > 0)).alias("s"))
+    lists = knn.smallest(subsets.join(members, "c").select("s", "d"), most, "s", "d").groupBy("s").agg(F.collect_list("d").alias("held"))
+    near = subsets.join(lists, "s").select("c", F.explode("held").alias("d"), F.col("s.n").alias("overlap"))
+    one = classes.select("c", F.explode("own").alias("e"))
+    large, other = one.where(F.col("c.n") > wide), one.select(F.col("c").alias("o"), "e")
+    both = large.join(other, "e").select("c", "o").unionByName(one.where(F.col("c.n") <= wide).join(other.where(F.col("o.n") > wide), "e").select("c", "o"))
+    near = near.unionByName(both.groupBy("c", "o").agg(F.count(F.lit(1)).alias("overlap")).join(members.withColumnRenamed("c", "o"), "o").select("c", "d", "overlap"))
+    # a document's overlap is the largest by which it is listed
+    best = knn.top(near.groupBy("c", "d").agg(F.max("overlap").alias("overlap")), most, by="c", score="overlap")
+    best = best.groupBy("c").agg(F.transform(F.sort_array(F.collect_list(F.struct("rank", "d", "overlap"))), lambda r: F.struct(r["d"].alias("d"), r["overlap"].alias("overlap"))).alias("near"))
+    own = first.select("q", "d").join(sets.select("d", "c"), "d").join(best, "c")
+    return own.select("q", F.explode(F.slice(F.filter("near", lambda r: r["d"] != F.col("d")), 1, k)).alias("r")).select("q", "r.d", "r.overlap")
+
+
 def page_rank(edges: DataFrame, seeds: DataFrame, rounds: int = 20, restart: float = 0.5) -> DataFrame:
     """(q, node, mass): mass that starts at a query's seeds (q, node, mass, summing to 1) and walks weighted edges (src, dst, weight).
 

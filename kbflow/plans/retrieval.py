@@ -121,11 +121,9 @@ def _entities(spark, sf):
 @query(f"""WITH {_ENT}, H AS (SELECT l_orderkey AS q, min(l_partkey) AS d FROM lineitem GROUP BY l_orderkey), V AS (SELECT DISTINCT q, e FROM H JOIN E USING (d)),
 O AS (SELECT q, d, count(*) AS overlap FROM V JOIN E USING (e) GROUP BY q, d) SELECT q, d, overlap FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY overlap DESC, d) AS n FROM O WHERE (q, d) NOT IN (SELECT q, d FROM H)) WHERE n <= 20""")
 def jon_entity_hop(spark, sf):
-    """Documents that share entities with an order's first document: found once for each document, however many orders have it first."""
+    """Documents that share entities with an order's first document: found once for each set of entities, however many documents have it."""
     first = read(spark, sf, "lineitem").groupBy(F.col("l_orderkey").alias("q")).agg(F.min("l_partkey").alias("d"))
-    own = first.select(F.col("d").alias("q"), "d").distinct()
-    near = knn.top(R.entity_hop(own, _entities(spark, sf)), 20, score="overlap")
-    return first.select("q", F.col("d").alias("first")).join(near.select(F.col("q").alias("first"), "d", "overlap"), "first").select("q", "d", "overlap")
+    return R.hop_top(first, _entities(spark, sf), 20)
 
 
 @query(f"WITH {_ENT}, N AS (SELECT count(DISTINCT d) AS n FROM E) SELECT e, count(*) AS df, round(greatest(0.001::DOUBLE, ln((n + 1.0::DOUBLE) / (count(*) + 1)) + 1), 6) AS idf FROM E, N GROUP BY e, n")
