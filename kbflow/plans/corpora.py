@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from kbflow.functions import chunking, models
 from kbflow.functions import text as T
+from kbflow.functions import vectors as V
 from kbflow.operators import fold
 from kbflow.operators import stream as S
 from kbflow.plans import vectors as B
@@ -230,7 +231,7 @@ def agg_covariances(spark, sf):
     v = read(spark, sf, "embeddings").select(F.slice("embedding", 1, 15).alias("x"))
     pairs = F.explode(F.expr("flatten(transform(x, (a, i) -> transform(slice(x, i + 1, size(x)), (b, j) -> struct(i AS i, i + j AS j, cast(a AS double) AS a, cast(b AS double) AS b))))"))
     own = v.select(pairs.alias("p")).select("p.*").groupBy("i", "j").agg(F.covar_samp("a", "b").alias("c"))
-    return own.select("i", "j", F.round(F.col("c") + F.when(F.col("i") == F.col("j"), 1e-5).otherwise(0.0), 6).alias("cov"))
+    return own.select("i", "j", V.rounded(F.col("c") + F.when(F.col("i") == F.col("j"), 1e-5).otherwise(0.0)).alias("cov"))
 
 
 @query(f"""WITH {B.BASE}, M AS (SELECT q, window_idx, max(sim) AS best FROM S GROUP BY q, window_idx) SELECT window_idx, sum((best >= 0.36::DOUBLE)::INT)::BIGINT AS reused, count(*) AS n, round(avg((best >= 0.36::DOUBLE)::INT), 6) AS rate FROM M GROUP BY window_idx""")
@@ -267,6 +268,4 @@ def tkb_add(spark, sf):
         at = fold.topic_add([np.asarray(v, float) for v in own["u"]], 0.4, 50)
         return pd.DataFrame({"label": own["label"].iloc[0], "d": own["d"], "cluster": at})
 
-    from kbflow.functions import vectors as V
-
     return B.kb(spark, sf).select("label", "d", V.unit("dv").alias("u")).groupBy("label").applyInPandas(run, "label int, d long, cluster long")

@@ -68,7 +68,7 @@ def cur_silhouette(spark, sf):
     far = F.when(F.col("others") > 0, (F.col("others") - (V.dot("u", "sv") - F.when(same, V.dot("u", "u")).otherwise(0.0))) / F.col("others"))
     own = both.withColumn("far", far).groupBy("q").agg(F.max(F.when(same, F.col("far"))).alias("own"), F.min(F.when(~same, F.col("far"))).alias("other"))
     score = (F.col("other") - F.col("own")) / F.greatest(F.col("own"), F.col("other"), F.lit(1e-12))
-    return own.select("q", F.round(F.when(F.col("own").isNull() | F.col("other").isNull(), 0.0).otherwise(score), 6).alias("silhouette"))
+    return own.select("q", V.rounded(F.when(F.col("own").isNull() | F.col("other").isNull(), 0.0).otherwise(score)).alias("silhouette"))
 
 
 @query(f"""WITH {_INTEREST}, F1X AS (SELECT q, list(round(list_inner_product(qv, cv), 6) ORDER BY c) AS sims FROM Q, CV GROUP BY q), T AS (SELECT q, list(round(sim, 6) ORDER BY rank) AS best FROM KR WHERE rank <= 10 GROUP BY q)
@@ -76,8 +76,8 @@ SELECT q, list_concat(sims, best) AS features FROM F1X JOIN T USING (q)""")
 def drf_features(spark, sf):
     """Features of a query: its similarity to each interest, then those of its ten best documents."""
     q = B.queries(spark, sf)
-    sims = q.select("q", "qv").crossJoin(F.broadcast(interests(spark, sf))).groupBy("q").agg(F.sort_array(F.collect_list(F.struct("c", F.round(V.dot("qv", "cv"), 6).alias("s")))).alias("own"))  # a row a topic
-    best = knn.top(B.served(spark, sf), 10).groupBy("q").agg(F.sort_array(F.collect_list(F.struct("rank", F.round("sim", 6).alias("s")))).alias("top"))
+    sims = q.select("q", "qv").crossJoin(F.broadcast(interests(spark, sf))).groupBy("q").agg(F.sort_array(F.collect_list(F.struct("c", V.rounded(V.dot("qv", "cv")).alias("s")))).alias("own"))  # a row a topic
+    best = knn.top(B.served(spark, sf), 10).groupBy("q").agg(F.sort_array(F.collect_list(F.struct("rank", V.rounded("sim").alias("s")))).alias("top"))
     return sims.join(best, "q").select("q", F.concat(F.transform("own", lambda x: x["s"]), F.transform("top", lambda x: x["s"])).alias("features"))
 
 
@@ -220,7 +220,7 @@ def vec_mean_pool(spark, sf):
     near = B.fetched(spark, sf, 1).select("q", "d").join(B.pool(spark, sf).select("d", "dv"), "d")
     mean = F.zip_with("qv", "dv", lambda x, y: (x.cast("double") + y.cast("double")) / 2)
     own = B.queries(spark, sf).join(near, "q").select("q", mean.alias("mv"))
-    return own.select("q", F.round(V.dot("mv", "mv"), 6).alias("square"), F.round(F.get("mv", F.lit(0)), 6).alias("first"))
+    return own.select("q", F.round(V.dot("mv", "mv"), 6).alias("square"), V.rounded(F.get("mv", F.lit(0))).alias("first"))
 
 
 @query(f"""WITH {B.BASE}, E AS (SELECT q, d, sim, 1 AS l FROM KR WHERE rank <= 5 UNION ALL SELECT q, d, sim * 0.9::DOUBLE, 2 FROM R WHERE rank <= 5), M AS (SELECT q, d, max(sim) AS score FROM E GROUP BY q, d), N AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY score DESC, d) AS rank FROM M)

@@ -108,7 +108,7 @@ def prj_model_output(spark, sf):
 SELECT vec_id, round(n, 6) AS norm, round(v[1] / greatest(n, 1e-10), 6) AS first, round(list_inner_product(v, v) / greatest(n, 1e-10) / greatest(n, 1e-10), 6) AS self_sim FROM n""")
 def vec_unit(spark, sf):
     e = read(spark, sf, "embeddings").withColumn("u", V.unit("embedding"))
-    return e.select("vec_id", F.round(V.norm("embedding"), 6).alias("norm"), F.round(F.get("u", F.lit(0)), 6).alias("first"), F.round(V.dot("u", "u"), 6).alias("self_sim"))
+    return e.select("vec_id", F.round(V.norm("embedding"), 6).alias("norm"), V.rounded(F.get("u", F.lit(0))).alias("first"), F.round(V.dot("u", "u"), 6).alias("self_sim"))
 
 
 @query("""WITH x AS (SELECT label, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) AS i FROM embeddings), m AS (SELECT label, i, avg(x) AS m FROM x GROUP BY label, i)
@@ -118,7 +118,7 @@ def vec_centroids(spark, sf):
 
     m = read(spark, sf, "embeddings").select("label", F.posexplode("embedding").alias("dim", "x")).groupBy("label", "dim").agg(F.avg(F.col("x").cast("double")).alias("m"))
     length = F.sqrt(F.sum(F.col("m") * F.col("m")).over(Window.partitionBy("label")))
-    return m.select("label", "dim", F.round(F.col("m") / F.greatest(length, F.lit(1e-10)), 6).alias("x"))
+    return m.select("label", "dim", V.rounded(F.col("m") / F.greatest(length, F.lit(1e-10))).alias("x"))
 
 
 @query("""SELECT vec_id, round(exp(-abs(2014 - (2008 + vec_id % 13)) / 2.0::DOUBLE), 6) AS freshness, round(pow(0.88::DOUBLE, vec_id % 50) * (1 + vec_id % 7), 6) AS decayed, abs(2014 - (2008 + vec_id % 13)) <= 2 AS in_era FROM embeddings""")
