@@ -49,11 +49,15 @@ def nearest(queries: DataFrame, docs: DataFrame, k: int, block: int = BLOCK, dig
     return _search(own, docs, k, block, digits)
 
 
-def probe(queries: DataFrame, centroids: DataFrame, docs: DataFrame, n: int, k: int) -> DataFrame:
-    """Two stages: the n best centroids (c, cv) of each query, then the k best documents (d, dv, c) of those clusters."""
-    chosen = nearest(queries, centroids.select(F.col("c").alias("d"), F.col("cv").alias("dv")), n).select("q", F.col("d").alias("c"))
-    own = chosen.join(queries.select("q", "qv"), "q").join(docs, "c").withColumn("sim", dot("qv", "dv")).select("q", "d", "c", "sim")
-    return top(own, k)
+def probe(queries: DataFrame, centroids: DataFrame, docs: DataFrame, n: int, k: int, block: int = BLOCK) -> DataFrame:
+    """Two stages: the n best centroids (c, cv) of each query, then the k best documents (d, dv, c) of those clusters.
+
+    The second is a search like the first, in which each query meets the documents of its clusters only.
+    """
+    chosen = nearest(queries, centroids.select(F.col("c").alias("d"), F.col("cv").alias("dv")), n, block).groupBy("q").agg(F.collect_list("d").alias("cs"))
+    own = queries.where(_fine("qv")).select("q", F.col("qv").cast("array<double>").alias("qv")).join(chosen, "q")
+    docs = docs.where(F.col("d").isNotNull() & F.col("c").isNotNull() & _fine("dv")).select("d", F.col("dv").cast("array<double>").alias("dv"), "c")
+    return _search(own, docs, k, block, None)
 
 
 def _fine(v: str):
