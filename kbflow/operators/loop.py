@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from kbflow.operators import fold, knn
@@ -54,6 +54,37 @@ def windows(queries: DataFrame, pool: DataFrame, gold: DataFrame, k: int) -> Ite
         yield own
 
 
+def arrivals(windows: DataFrame, pool: DataFrame, n: int, share: float) -> DataFrame:
+    """(window_idx, come): for each of ``windows`` (window_idx, a row each) the n pool documents (d, dv) of the smallest keys, in their order.
+
+    All keys are made, and only the smallest of them, ``share`` of all as they are hashes, are sorted: those hold a
+    window's n first if they are n at least. A window that has fewer has all documents with such keys here, or no row.
+    """
+    keyed = windows.repartition(windows.sparkSession.sparkContext.defaultParallelism, "window_idx").crossJoin(pool.select("d")).withColumn("key", order_key("arrive", "window_idx", "d"))
+    few = keyed.where(F.col("key") < f"{int(share * 16**8):08x}") if share < 1 else keyed
+    few = few.withColumn("n", F.row_number().over(Window.partitionBy("window_idx").orderBy("key", "d"))).where(F.col("n") <= n)
+    own = few.select("window_idx", "n", "d").join(pool.select("d", "dv"), "d").groupBy("window_idx")
+    return own.agg(F.sort_array(F.collect_list(F.struct("n", "d", "dv"))).alias("come"))
+
+
+def _coming(queries: DataFrame, pool: DataFrame, n: int, frozen: int) -> Callable[[int], list]:
+    """The arrivals of a window, for windows in rising order: found for all windows at once, and by a job of its own for one that has too few there."""
+    size = pool.count()
+    later = queries.where(F.col("window_idx") >= frozen).select("window_idx").distinct()
+    rows = arrivals(later, pool, n, 8 * n / max(1, size)).orderBy("window_idx").toLocalIterator()
+    now = next(rows, None)
+
+    def of(window: int) -> list:
+        nonlocal now
+        while now is not None and now.window_idx < window:
+            now = next(rows, None)
+        if now is not None and now.window_idx == window and len(now.come) >= min(n, size):
+            return now.come
+        return pool.orderBy(order_key(f"arrive|{window}", "d"), "d").select("d", "dv").limit(n).collect()
+
+    return of
+
+
 def run(policy: str, queries: DataFrame, pool: DataFrame, kb: DataFrame, gold: DataFrame, hit: float, budget: int, k: int = 5, arriving: int = 80, cap: int = 200, frozen: int = 0) -> list[tuple]:
     """(policy, window_idx, n_queries, recall, coverage, hit_recall, writes, gap) of each window; recall@k by the base as it stood at the window's start.
 
@@ -69,6 +100,7 @@ def run(policy: str, queries: DataFrame, pool: DataFrame, kb: DataFrame, gold: D
     ledger = fold.Ledger(list(base.docs))
     steps: list[tuple[bool, float]] = []
     out = []
+    coming = _coming(queries, pool, arriving, frozen) if policy == "arrivals" else None
     for own in windows(queries, pool, gold, k):
         window = own[0].window_idx
         x = np.array([r.qv for r in own], float)
@@ -93,8 +125,7 @@ def run(policy: str, queries: DataFrame, pool: DataFrame, kb: DataFrame, gold: D
             elif policy == "miss_tiny_lfu":
                 writes, kept = fold.miss_tiny_lfu(freq, fetched, first, hit), freq
             elif policy == "arrivals":
-                come = pool.orderBy(order_key(f"arrive|{window}", "d"), "d").select("d", "dv").limit(arriving).collect()
-                writes = fold.arrivals(base.docs, seen, [(r.d, np.asarray(r.dv, float)) for r in come], window)
+                writes = fold.arrivals(base.docs, seen, [(r.d, np.asarray(r.dv, float)) for r in coming(window)], window)
                 kept = base.docs
             elif policy in ("demand", "routed", "adaptive"):
                 writes = _demand(policy, base, ledger, asked, hit, gap, steps, budget, cap, vectors)
