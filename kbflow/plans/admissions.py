@@ -110,8 +110,7 @@ def pol_fetch_on_demand(spark, sf):
     """The knowledge base with what failing queries fetch, for one window only."""
     s = State(spark, sf)
     virtual = s.kb.select("d").unionByName(s.fetched(50).select("d")).distinct()
-    asked = B.queries(spark, sf).where(F.col("window_idx") == NOW).select("q")
-    own = B.gold(spark, sf).join(asked, "q", "left_semi").join(virtual.withColumn("hit", F.lit(1)), "d", "left").groupBy("q").agg(F.avg(F.coalesce("hit", F.lit(0))).alias("r"))
+    own = B.gold(spark, sf, NOW).join(virtual.withColumn("hit", F.lit(1)), "d", "left").groupBy("q").agg(F.avg(F.coalesce("hit", F.lit(0))).alias("r"))
     return own.agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("r"), 6).alias("recall")).crossJoin(virtual.agg(F.count(F.lit(1)).alias("kb_size")))
 
 
@@ -120,7 +119,7 @@ SELECT d FROM (SELECT d, 1 AS g, 0.0::DOUBLE AS use FROM WG UNION ALL SELECT d,
 def pol_oracle(spark, sf):
     """The window's gold, filled up with the documents most like its queries."""
     asked = B.queries(spark, sf).where(F.col("window_idx") == NOW)
-    gold = B.gold(spark, sf).join(asked.select("q"), "q", "left_semi").select("d").distinct().select("d", F.lit(1).alias("g"), F.lit(0.0).alias("use"))
+    gold = B.gold(spark, sf, NOW).select("d").distinct().select("d", F.lit(1).alias("g"), F.lit(0.0).alias("use"))
     rest = B.pool(spark, sf).join(gold.select("d"), "d", "left_anti")
     sims = rest.crossJoin(asked.select("q", "qv")).groupBy("d").agg(F.round(F.avg(_sim()), 9).alias("use"))
     return gold.unionByName(sims.select("d", F.lit(0).alias("g"), "use")).orderBy(F.col("g").desc(), F.col("use").desc(), "d").limit(B.BUDGET).select("d")
@@ -140,8 +139,7 @@ def pol_next_window(spark, sf):
     s = State(spark, sf)
     own = s.demand().join(F.broadcast(s.kb.select("d")), "d", "left_anti").select("d", F.round("demand", 9).alias("value"))
     moved = A.swaps(own, s.residents.select("d", F.round(F.col("serve") / 10, 9).alias("value")), CAP, F.expr("gain > loss"))
-    asked = B.queries(spark, sf).where(F.col("window_idx") == NOW + 1).select("q")
-    gold = B.gold(spark, sf).join(asked, "q", "left_semi")
+    gold = B.gold(spark, sf, NOW + 1)
     old, new = s.kb.select("d", F.lit(1).alias("a")), A.apply(s.kb, moved).withColumn("b", F.lit(1))
     both = gold.join(old, "d", "left").join(new, "d", "left")
     return both.agg(F.round(F.avg(F.coalesce("a", F.lit(0))), 6).alias("before"), F.round(F.avg(F.coalesce("b", F.lit(0))), 6).alias("after"))

@@ -45,6 +45,7 @@ def fetched(spark, sf, k: int) -> DataFrame:
     return knn.nearest(queries(spark, sf), pool(spark, sf), k)
 
 
-def gold(spark, sf) -> DataFrame:
-    """Each query's two nearest pool documents."""
-    return fetched(spark, sf, 2).select("q", "d")
+def gold(spark, sf, window: int | None = None) -> DataFrame:
+    """Each query's two nearest pool documents; those of one window's queries are searched alone."""
+    asked = queries(spark, sf)
+    return knn.nearest(asked if window is None else asked.where(F.col("window_idx") == window), pool(spark, sf), 2).select("q", "d")
